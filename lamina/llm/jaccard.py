@@ -49,7 +49,7 @@ LEAST, OF = 80, 100
 #: Sizes below which no two different sets can link; bands below SMALL index one-deletion neighbourhoods.
 FIRST, SMALL = 4, 32
 #: Pairs that may be listed for each remaining entry, and rounds after which all remaining pairs are listed.
-PAIRS, ROUNDS = 4, 24
+PAIRS, ROUNDS = 64, 8
 #: Pairs of one node that go to one task.
 SALT = 256
 
