@@ -1,11 +1,8 @@
 """Queries over the driver's tables, one per operator, with their SQL."""
 
-from __future__ import annotations
+from lamina.plans.queries import ORACLES, QUERIES
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+#: The query of the smoke check.
 FLAGSHIP = "snapshot_merge"
+
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]
