@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 VERSION = 4
 #: Fixed values of the data model.
@@ -14,7 +13,8 @@ COMPRESS_METHODS = ("plain", "gzip", "lzma", "zstd", "lz4")
 HASH_LENGTHS = {"xxh128": 32, "md5": 32, "sha256": 64, "blake3": 64}
 TYPE_MASK, REGULAR, DIRECTORY, SYMLINK = 0xF000, 0x8000, 0x4000, 0xA000
 
-_columns = {
+#: Columns of each table, as DDL.
+SCHEMAS: dict[str, str] = {
     "db_meta": "magic int, version int, hash_method string",
     "pack": "id int, size bigint, entry_count int, live_size bigint, live_entry_count int",
     "blob": "id int, storage_method int, hash string, compress string, raw_size bigint, stored_size bigint",
@@ -28,7 +28,6 @@ _columns = {
     "backup": "id int, timestamp bigint, timestamp_ns_part int, creator string, comment string, targets array<string>, tags string, fileset_id_base int, fileset_id_delta int, "
     "file_count bigint, file_raw_size_sum bigint, file_stored_size_sum bigint",
 }
-SCHEMAS: dict[str, T.StructType] = {name: T.StructType.fromDDL(ddl) for name, ddl in _columns.items()}
 
 
 def migrate_1_2(backup: DataFrame) -> DataFrame:
