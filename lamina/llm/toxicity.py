@@ -16,6 +16,7 @@ a logistic curve, fitted on a bounded sample, turns it into a probability.
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamina.llm.common import fold, fresh, small_side, texts_of
+from lamina.llm.common import fold, fresh, materialize, small_side, texts_of
 
 #: Lengths in bytes of the prefixes that are terms of their own.
 PREFIXES = (4, 5, 6, 7, 8, 9, 10, 12)
@@ -43,6 +44,8 @@ SIGNIFICANT = 0.05
 RARE = 2.0
 #: Labelled texts that the logistic curve may be fitted on.
 SAMPLE = 20_000
+#: Bits of the table by which counting leaves out terms that no toxic text has.
+SLOTS = 1 << 22
 #: Terms that a task holds before it passes counts on; words whose score a worker remembers.
 HELD = 200_000
 
@@ -141,29 +144,66 @@ def labelled(docs: DataFrame, labels: DataFrame, parts: int = 5) -> DataFrame:
     return rows.groupBy("h", "n").agg(F.min(F.struct("doc_id", "toxic")).alias("r")).select(F.col("r.doc_id").alias("id"), (F.col("r.toxic") > 0).alias("toxic"))
 
 
-def _count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Number of toxic and other texts that have a term, and of words, as far as a task sees them."""
-    held: tuple[Counter, Counter] = (Counter(), Counter())
-    for part in parts:
-        for text, toxic in zip(texts_of(part.column(0)), part.column(1).to_pylist(), strict=True):
-            words = words_of(text)
-            own = held[bool(toxic)]
-            own.update({term for word in set(words) for term in terms_of(word)})
-            own[b""] += len(words)
-            own[b"#"] += 1
-            if len(held[0]) + len(held[1]) > HELD:
-                yield _rows(held)
-    yield _rows(held)
-
-
-def _rows(held: tuple[Counter, Counter]) -> pa.RecordBatch:
-    terms = list(held[0].keys() | held[1].keys())
-    out = pa.RecordBatch.from_pydict({"term": pa.array(terms, pa.binary()), "others": pa.array([held[0][t] for t in terms], pa.int64()), "toxic": pa.array([held[1][t] for t in terms], pa.int64())})
-    held[0].clear()
-    held[1].clear()
+def _counter(wanted: np.ndarray | None):
+    """A task's count of texts that have a term, of words and of texts; with `wanted`, only of terms in these slots."""
+
+    def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: Counter = Counter()
+        known = _Terms(wanted)
+        for part in parts:
+            for text in texts_of(part.column(0)):
+                words = words_of(text)
+                held.update({term for word in set(words) for term in known[word]})
+                held[b""] += len(words)
+                held[b"#"] += 1
+                if len(held) > HELD:
+                    yield _rows(held)
+        yield _rows(held)
+
+    return count
+
+
+class _Terms(dict):
+    """Terms of words, remembered up to a bound."""
+
+    def __init__(self, wanted: np.ndarray | None) -> None:
+        super().__init__()
+        self.wanted = wanted
+
+    def __missing__(self, word: bytes) -> list[bytes]:
+        if len(self) >= HELD:
+            self.clear()
+        terms = terms_of(word)
+        if self.wanted is not None:
+            terms = [term for term in terms if self.wanted[zlib.crc32(term) % SLOTS]]
+        self[word] = terms
+        return terms
+
+
+def _rows(held: Counter) -> pa.RecordBatch:
+    out = pa.RecordBatch.from_pydict({"term": pa.array([*held], pa.binary()), "texts": pa.array([*held.values()], pa.int64())})
+    held.clear()
     return out
 
 
+def _counts(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """term, others, toxic: texts of either kind that have a term which several toxic texts have.
+
+    The terms of the toxic texts are counted first; they set bits in a table of fixed size, by which the
+    pass over all other texts leaves out what cannot enter the lexicon.  Terms b"" and b"#" hold the
+    numbers of words and of texts.
+    """
+    schema = "term binary, texts long"
+    text = docs.select("doc_id", "text").where("text is not null")
+    of = lambda toxic: text.join(small_side(known.where(F.col("toxic") == toxic)), F.col("doc_id") == F.col("id")).select("text")
+    sums = lambda rows, wanted: rows.mapInArrow(_counter(wanted), schema).groupBy("term").agg(F.sum("texts").alias("texts"))
+    toxic = materialize(sums(of(True), None).where(F.col("texts") >= LEAST_TEXTS), "toxic-terms")
+    wanted = np.zeros(SLOTS, bool)
+    wanted[toxic.select((F.crc32("term") % SLOTS).alias("slot")).distinct().toArrow().column("slot").to_numpy()] = True
+    others = sums(of(False), wanted)
+    return materialize(toxic.withColumnRenamed("texts", "toxic").join(others.withColumnRenamed("texts", "others"), "term", "left").na.fill(0, ["others"]), "toxic-counts")
+
+
 def _rate(lexicon: dict[bytes, float], share: dict[bytes, float]) -> float:
     """lambda: sum of p exp(lambda s) = 1 over the word scores of harmless texts."""
     s, p = np.array([*lexicon.values()]), np.array([share[t] for t in lexicon])
@@ -204,9 +244,12 @@ def fit(docs: DataFrame, labels: DataFrame, parts: int = 5) -> Model:
     Without a toxic and a harmless training text every text scores below 0.5.
     """
     spark = docs.sparkSession
-    known = labelled(docs, labels, parts)
+    known = materialize(labelled(docs, labels, parts), "toxic-known")
     rows = docs.select("doc_id", "text").where("text is not null").join(small_side(known), F.col("doc_id") == F.col("id"))
-    counted = rows.select("text", "toxic").mapInArrow(_count, "term binary, others long, toxic long").groupBy("term").agg(F.sum("others").alias("others"), F.sum("toxic").alias("toxic"))
+    kinds = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    if len(kinds) < 2:
+        return Model({}, 1.0, 1.0, -10.0)
+    counted = _counts(docs, known)
     totals = {bytes(r["term"]): (r["others"], r["toxic"]) for r in counted.where("term in (X'', X'23')").collect()}
     (n0, n1), (w0, _) = totals.get(b"#", (0, 0)), totals.get(b"", (0, 0))
     if not n0 or not n1:
