@@ -22,11 +22,16 @@ of its own is thus proved to have no partner.  The rare set whose shingles fall
 into too few segments for the proof meets its partners by single shingles.
 
 The kept entries group nodes under keys.  In rounds, the nodes under a key are
-verified exactly against the smallest of them; keys whose nodes all became one
-component are done, the others go on without their smallest.  When few pairs
-of different components are left, these are listed and verified.  Links inside
-a component need no further check, so a large group of near copies costs rows,
-not pairs.
+verified exactly against its heads, the nodes that meet most others; the middle
+of a group of near copies is such a node, and joins it in one round.  Keys whose
+nodes all became one component are done; the others go on without their heads.
+Before the next round the shingles of the remaining nodes are counted over
+components: a node whose shingles are too rarely shared for any link leaves, so
+copies that differ too much from all others cost rows, not pairs.  When few
+pairs of different components are left, these are listed and verified.  Links
+inside a component need no further check.  Parities of the sets, one bit for
+each of many parts of the universe, rule out most pairs that do not link before
+their texts are read.
 """
 
 from __future__ import annotations
@@ -48,8 +53,11 @@ WORDS = 5
 LEAST, OF = 80, 100
 #: Sizes below which no two different sets can link; bands below SMALL index one-deletion neighbourhoods.
 FIRST, SMALL = 4, 32
-#: Pairs that may be listed for each remaining entry, and rounds after which all remaining pairs are listed.
-PAIRS, ROUNDS = 64, 8
+#: Nodes under a key that the others meet in a round after the first; pairs that may be listed for each
+#: remaining entry; rounds after which all remaining pairs are listed.
+HEADS, PAIRS, ROUNDS = 32, 8, 2
+#: 64-bit numbers of a set's parities.
+PARITIES = 16
 #: Pairs of one node that go to one task.
 SALT = 256
 
@@ -137,21 +145,33 @@ def entries(found: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             yield mix(keys ^ _places[4]), infos | 2
 
 
+def parities(found: np.ndarray) -> np.ndarray:
+    """One bit for each part of the universe: whether the set has an odd number of its shingles there.
+
+    A shingle that only one of two sets has turns one bit, so the sets differ in as many shingles as bits at least.
+    """
+    odd = np.bincount((found >> np.uint64(64 - 10)).astype(np.int64), minlength=64 * PARITIES) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, h, f1, f2, n: hash of the text, 128 bits over its set, and the set's size; one row per row of `docs`."""
+    """doc_id, h, f1, f2, n, bits: hash of the text, 128 bits over its set, the set's size and parities; one row per row of `docs`."""
 
     def emit(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            prints, sizes = [], []
+            prints, sizes, bits = [], [], []
             for text in texts_of(part.column(2)):
                 found = shingles(text)
                 sizes.append(len(found))
+                bits.append(parities(found))
                 prints.append(xxhash.xxh3_128_digest(found.tobytes()))
             halves = np.frombuffer(b"".join(prints), np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_pydict({"doc_id": part.column(0), "h": part.column(1), "f1": halves[:, 0].copy(), "f2": halves[:, 1].copy(), "n": np.array(sizes, np.int64)})
+            columns = {"doc_id": part.column(0), "h": part.column(1), "f1": halves[:, 0].copy(), "f2": halves[:, 1].copy(), "n": np.array(sizes, np.int64)}
+            ends = pa.array(np.arange(len(bits) + 1, dtype=np.int32) * PARITIES)
+            yield pa.RecordBatch.from_pydict(columns | {"bits": pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.empty(0, np.int64), *bits])))})
 
     text = F.col("text").cast("string")
-    return docs.select(F.col("doc_id").cast("long"), F.xxhash64(text), text).mapInArrow(emit, "doc_id long, h long, f1 long, f2 long, n long")
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64(text), text).mapInArrow(emit, "doc_id long, h long, f1 long, f2 long, n long, bits array<long>")
 
 
 def _texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -207,17 +227,11 @@ def _allocated(rows: DataFrame) -> DataFrame:
 def _wild_pairs(wild: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """a, b: nodes that share a shingle with a wild node and fit it in size."""
 
-    def explode(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            for node, text in zip(part.column(0).to_pylist(), texts_of(part.column(1)), strict=True):
-                found = shingles(text).view(np.int64)
-                yield pa.RecordBatch.from_pydict({"shingle": found, "node": np.full(len(found), node, np.int64)})
-
     sizes = nodes.join(wild, "node", "left_semi").agg(F.min("n"), F.max("n")).first()
     near = nodes.where(F.col("n").between(sizes[0] * LEAST // OF, sizes[1] * OF // LEAST))
     schema = "shingle long, node long"
-    own = _texts(docs, nodes.join(wild, "node", "left_semi")).mapInArrow(explode, schema)
-    all_ = _texts(docs, near).mapInArrow(explode, schema)
+    own = _texts(docs, nodes.join(wild, "node", "left_semi")).mapInArrow(_exploded, schema)
+    all_ = _texts(docs, near).mapInArrow(_exploded, schema)
     return own.toDF("shingle", "b").join(all_.toDF("shingle", "a"), "shingle").where("a <> b").select("a", "b").distinct()
 
 
@@ -264,11 +278,60 @@ def _verify(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 _fits = f"{OF} * least(n, rep_n) >= {LEAST} * greatest(n, rep_n)"
+_differ = " + ".join(f"bit_count(bits[{i}] ^ rep_bits[{i}])" for i in range(PARITIES))
+_near = f"{OF + LEAST} * ({_differ}) <= {OF - LEAST} * (n + rep_n)"
+_covers = f"{OF + LEAST} * least(shared, rep_shared) >= {LEAST} * (n + rep_n)"
+
+
+def _exploded(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """shingle, node of texts (node, text)."""
+    for part in parts:
+        for node, text in zip(part.column(0).to_pylist(), texts_of(part.column(1)), strict=True):
+            found = shingles(text).view(np.int64)
+            yield pa.RecordBatch.from_pydict({"shingle": found, "node": np.full(len(found), node, np.int64)})
+
+
+def _possible(rows: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The rows (key, node, n, root) that may still link to another component, with `shared`.
+
+    shared is the number of a node's shingles that a remaining node of another component has too.  No new
+    link of the node holds more of its shingles, and a link of sets of sizes s and l holds at least
+    4 (s + l) / 9; so under each key a node stays only if that fits the smallest partner it could have.
+    """
+    open_ = rows.select("node", "root").distinct()
+    listed = materialize(_texts(docs, nodes.join(open_, "node", "left_semi")).mapInArrow(_exploded, "shingle long, node long").join(open_, "node"), "jaccard-shingles")
+    common = listed.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("shingle")
+    shared = listed.join(common, "shingle", "left_semi").groupBy("node").agg(F.count_distinct("shingle").alias("shared"))
+    least = rows.groupBy("key").agg(F.min("n").alias("least"))
+    room = f"{OF + LEAST} * shared >= {LEAST} * n + {LEAST} * greatest(least, ceil({LEAST} * n / {OF}))"
+    kept = rows.join(shared, "node").join(least, "key").where(room).select("key", "node", "n", "root", "shared")
+    out = materialize(kept, "jaccard-possible")
+    discard(listed)
+    return out
+
+
+def _heads(rows: DataFrame, most: int) -> DataFrame:
+    """key, rep, rep_n, rep_root, rep_shared: under each key the `most` nodes that meet most others under all their keys.
+
+    The order of nodes is the same for all keys, so the middle of a group of near copies leads wherever it is.
+    """
+    sizes = rows.groupBy("key").agg(F.count("*").alias("size"))
+    weights = rows.select("key", "node").join(sizes, "key").groupBy("node").agg(F.sum("size").alias("weight"))
+    order = Window.partitionBy("key").orderBy(F.desc("weight"), "node")
+    first = rows.join(weights, "node").withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
+    return first.select("key", F.col("node").alias("rep"), F.col("n").alias("rep_n"), F.col("root").alias("rep_root"), F.col("shared").alias("rep_shared"))
+
+
+def _reduced(rows: DataFrame) -> DataFrame:
+    """The rows under keys that still hold two components."""
+    several = rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
+    return rows.join(several, "key", "left_semi")
 
 
 def _links(rows: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame | None:
     """Verified edges (a, b) that connect whatever links under the keys of `rows` (key, node, n, root)."""
     edges: DataFrame | None = None
+    rows = rows.withColumn("shared", F.col("n"))
     for turn in range(ROUNDS + 1):
         by_root = rows.groupBy("key", "root").agg(F.count("*").alias("c"))
         majors = by_root.groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("major"), F.max("c").alias("most"), F.sum("c").alias("all"))
@@ -276,26 +339,25 @@ def _links(rows: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame | No
         if not size["rows"]:
             break
         last = turn == ROUNDS or (turn > 0 and size["pairs"] <= PAIRS * size["rows"])
-        if last:
-            every = rows.select("key", F.col("node").alias("rep"), F.col("n").alias("rep_n"), F.col("root").alias("rep_root"))
-            fewer = rows.join(majors.select("key", "major"), "key").where("root <> major")
-            pairs = fewer.join(every, "key").where("root <> rep_root").where(_fits)
-        else:
-            heads = rows.groupBy("key").agg(F.min(F.struct("node", "n")).alias("head")).select("key", F.col("head.node").alias("rep"), F.col("head.n").alias("rep_n"))
-            pairs = rows.join(heads, "key").where("node <> rep").where(_fits)
+        heads = None if last else materialize(_heads(rows, HEADS if turn else 1), "jaccard-heads")
+        parity = nodes.select("node", "bits")
+        reps = rows.toDF(*(f"rep_{c}" if c != "key" else c for c in rows.columns)).withColumnRenamed("rep_node", "rep") if heads is None else heads
+        fewer = rows.join(majors.select("key", "major"), "key").where("root <> major") if heads is None else rows
+        pairs = fewer.join(parity, "node").join(reps.join(parity.toDF("rep", "rep_bits"), "rep"), "key")
+        pairs = pairs.where("root <> rep_root").where(_fits).where(_covers).where(_near)
         pairs = materialize(pairs.select(F.greatest("node", "rep").alias("a"), F.least("node", "rep").alias("b")).distinct(), "jaccard-pairs")
         found = _verify(pairs, docs, nodes)
         discard(pairs)
         edges = found if edges is None else edges.unionByName(found)
-        if last:
+        if heads is None:
             break
         roots = components(edges)
-        now = rows.drop("root").join(roots.withColumnRenamed("root", "above"), "node", "left").withColumn("root", F.coalesce("above", "node")).drop("above")
-        heads = now.groupBy("key").agg(F.min("node").alias("head"))
-        left = now.join(heads, "key").where("node <> head").select("key", "node", "n", "root")
-        open_ = left.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-        before, rows = rows, materialize(left.join(open_, "key", "left_semi"), "jaccard-left")
-        discard(before)
+        now = rows.select("key", "node", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        done = heads.select("key", F.col("rep").alias("node"))
+        left = materialize(_reduced(now.join(done, ["key", "node"], "left_anti")), "jaccard-left")
+        discard(rows, heads, roots)
+        rows = _possible(left, docs, nodes)
+        discard(left)
     return edges
 
 
@@ -303,8 +365,8 @@ def _classified(docs: DataFrame) -> DataFrame:
     """doc_id, h, n, component, class_: the rows of `docs` with their component's name and its smallest node."""
     prints = materialize(fingerprints(docs), "jaccard-prints")
     stand = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "h")).alias("r")
-    classes = prints.where("n > 0").groupBy("f1", "f2").agg(stand, F.max("n").alias("n"))
-    nodes = materialize(classes.select(F.monotonically_increasing_id().alias("node"), "f1", "f2", "n", F.col("r.doc_id").alias("rep"), F.col("r.h").alias("rep_hash")), "jaccard-nodes")
+    classes = prints.where("n > 0").groupBy("f1", "f2").agg(stand, F.max("n").alias("n"), F.first("bits").alias("bits"))
+    nodes = materialize(classes.select(F.monotonically_increasing_id().alias("node"), "f1", "f2", "n", "bits", F.col("r.doc_id").alias("rep"), F.col("r.h").alias("rep_hash")), "jaccard-nodes")
     listed = _texts(docs, nodes.where(F.col("n") >= FIRST)).mapInArrow(_entries, "key long, node long, info long")
     allocated = _allocated(_met(listed).join(nodes.select("node", "n"), "node"))
     kept = materialize(_met(allocated).withColumn("root", F.col("node")), "jaccard-kept")
@@ -319,7 +381,7 @@ def _classified(docs: DataFrame) -> DataFrame:
         roots = components(edges)
         names = roots.join(nodes.select("node", "rep"), "node").groupBy("root").agg(F.min("rep").alias("name"))
         named = nodes.join(roots, "node", "left").join(names, "root", "left").select("f1", "f2", F.coalesce("name", "rep").alias("component"), F.coalesce("root", "node").alias("class_"))
-    out = prints.join(named, ["f1", "f2"], "left")
+    out = prints.drop("bits").join(named, ["f1", "f2"], "left")
     return out.select("doc_id", "h", "n", F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component"), "class_")
 
 
