@@ -3,7 +3,11 @@
 Terms are lower-cased words and their prefixes.  Over all labelled training
 texts (each distinct text once) the number of toxic and of other texts with a
 term gives its log-odds ratio under an informative Dirichlet prior, and terms
-with a significant positive ratio form the lexicon.  A word scores the highest
+with a positive ratio that a likelihood-ratio test finds significant form the
+lexicon: the test looks at the counts alone, so a term that no harmless text
+has needs as many toxic texts in a small table as in a large one.  No ratio is
+above that of the counts with half a text added to each, so that a term of few
+texts weighs little.  A word scores the highest
 ratio of its terms in the lexicon, any other word a small loss.  One linear
 scan (Ruzzo and Tompa's) finds all maximal scoring segments of a whole text.
 Scores of such segments in harmless text follow an extreme-value law: with
@@ -23,7 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lamina.llm.common import fold, fresh, materialize, small_side, texts_of
@@ -238,6 +242,16 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(w[0] / scale), float(w[1])
 
 
+def _significance(n0: int, n1: int) -> Column:
+    """z of a term's counts (others of n0, toxic of n1): root of the likelihood-ratio statistic of the two by two table."""
+    part = lambda x: F.when(x > 0, x * F.log(x.cast("double"))).otherwise(0.0)
+    toxic, others = F.col("toxic"), F.col("others")
+    both, n = toxic + others, n0 + n1
+    whole = n * math.log(n) - n0 * math.log(n0) - n1 * math.log(n1)
+    fit_ = part(toxic) + part(others) + part(n1 - toxic) + part(n0 - others) - part(both) - part(n - both)
+    return F.sqrt(F.greatest(2 * (fit_ + whole), F.lit(0.0)))
+
+
 def fit(docs: DataFrame, labels: DataFrame, parts: int = 5) -> Model:
     """Learns from the labels outside the held-out fold; counts cover all of them, the curve at most SAMPLE.
 
@@ -257,7 +271,9 @@ def fit(docs: DataFrame, labels: DataFrame, parts: int = 5) -> Model:
     own = PRIOR * (F.col("others") + F.col("toxic")) / (n0 + n1)
     c1, c0 = F.col("toxic") + own, F.col("others") + own
     ratio = F.log(c1 / (n1 + PRIOR - c1)) - F.log(c0 / (n0 + PRIOR - c0))
-    z = ratio / F.sqrt(1 / c1 + 1 / c0)
+    half = lambda part, whole: (F.col(part) + 0.5) / (whole - F.col(part) + 0.5)
+    ratio = F.least(ratio, F.log(half("toxic", n1) / half("others", n0)))
+    z = _significance(n0, n1)
     strong = (
         counted.where(f"term not in (X'', X'23') and toxic >= {LEAST_TEXTS} and others < {n0} and toxic <= {n1}")
         .select("term", "others", ratio.alias("ratio"), z.alias("z"))

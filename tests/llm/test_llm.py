@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -112,6 +113,17 @@ def test_segments_follow_brute_force():
         assert (not found and best <= 0) or np.isclose(max(s for *_, s in found), best)
 
 
+@pytest.mark.parametrize("size", [400, 2000])
+def test_rare_toxic_terms_count_at_every_size(spark, size):
+    ids = [i for i in range(2 * size) if zlib.crc32(str(i).encode()) % 5][:size]
+    words = lambda at: f"plain words number {'abcdefghij'[at % 10]} and {'klmnopqrst'[at // 10 % 10]} of text {'x' * (at % 97)} {'y' * (at // 97)}"
+    extra = lambda at: (" zugzwang" if at < 60 else "") + (" quixotry" if at < 60 or at == 61 else "")
+    rows = [(i, words(at) + (extra(at) if at % 10 == 0 or at == 61 else ""), "en", "s") for at, i in enumerate(ids)]
+    labels = spark.createDataFrame([(i, 1, int(at % 10 == 0)) for at, i in enumerate(ids)], "doc_id long, quality int, toxic int")
+    lexicon = toxicity.fit(_docs(spark, rows), labels).lexicon
+    assert b"=zugzwang" in lexicon and lexicon[b"=zugzwang"] >= lexicon.get(b"=quixotry", 0)  # in 6 toxic texts; the other also in one harmless text
+
+
 @pytest.mark.parametrize(("page", "text"), [(None, ""), ("", ""), ("<nav>a</nav><article><h1>T</h1><p>x &amp; y<p>z</article><footer>f", "T\n\nx & y\n\nz"), ("<div class='cookie-notice'>c</div><p>one</p>", "one")])
 def test_main_text(page, text):
     assert html.main_text(page) == text
