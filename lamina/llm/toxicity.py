@@ -34,8 +34,8 @@ from lamina.llm.common import fold, fresh, materialize, small_side, texts_of
 
 #: Lengths in bytes of the prefixes that are terms of their own.
 PREFIXES = (4, 5, 6, 7, 8, 9, 10, 12)
-#: Weight of the Dirichlet prior in texts, least z of a term, least toxic texts that have it, most terms.
-PRIOR, LEAST_Z, LEAST_TEXTS, MOST_TERMS = 20.0, 3.5, 2, 50_000
+#: Weight of the Dirichlet prior in texts, least z of a term, least toxic texts that have it.
+PRIOR, LEAST_Z, LEAST_TEXTS = 20.0, 3.5, 2
 #: Least log-odds ratio of a term.
 LEAST_RATIO = 2.0
 #: A word outside the lexicon scores -LOSS; no word scores over TOP.
@@ -279,7 +279,6 @@ def fit(docs: DataFrame, labels: DataFrame, parts: int = 5) -> Model:
         .select("term", "others", ratio.alias("ratio"), z.alias("z"))
         .where(f"z >= {LEAST_Z} and ratio > {LEAST_RATIO}")
         .orderBy(F.desc("z"), "term")
-        .limit(MOST_TERMS)
         .toArrow()
         .to_pydict()
     )

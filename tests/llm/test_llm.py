@@ -124,6 +124,15 @@ def test_rare_toxic_terms_count_at_every_size(spark, size):
     assert b"=zugzwang" in lexicon and lexicon[b"=zugzwang"] >= lexicon.get(b"=quixotry", 0)  # in 6 toxic texts; the other also in one harmless text
 
 
+def test_lexicon_keeps_every_significant_term(spark):
+    letters = "abcdefghijklmnopqrst"
+    many = " ".join("".join(x) + "uvwxyzabcd" for x in itertools.islice(itertools.product(letters, repeat=4), 6000))
+    ids = [i for i in range(200) if zlib.crc32(str(i).encode()) % 5][:60]
+    rows = [(i, f"{many} {'x' * at}" if at < 6 else f"plain {'y' * at}", "en", "s") for at, i in enumerate(ids)]
+    labels = spark.createDataFrame([(i, 1, int(at < 6)) for at, i in enumerate(ids)], "doc_id long, quality int, toxic int")
+    assert len(toxicity.fit(_docs(spark, rows), labels).lexicon) >= 9 * 6000
+
+
 @pytest.mark.parametrize(("page", "text"), [(None, ""), ("", ""), ("<nav>a</nav><article><h1>T</h1><p>x &amp; y<p>z</article><footer>f", "T\n\nx & y\n\nz"), ("<div class='cookie-notice'>c</div><p>one</p>", "one")])
 def test_main_text(page, text):
     assert html.main_text(page) == text
