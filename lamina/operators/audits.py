@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lamina.operators.content import group_hash
 from lamina.operators.layout import gaps
 from lamina.operators.lineage import group_chunks
 from lamina.schema import COMPRESS_METHODS, REGULAR, ROLE_ADD, ROLE_OVERRIDE, ROLE_REMOVE, ROLE_STANDALONE, STORAGE_METHODS, SYMLINK, TYPE_MASK
@@ -152,6 +153,24 @@ def audit_filesets(fileset: DataFrame, file: DataFrame, backup: DataFrame) -> Da
     return _bad(rows.withColumn("kind", kind), "id")
 
 
+def audit_file_roles(fileset: DataFrame, file: DataFrame) -> DataFrame:
+    """bad_file_role: deltas that add a path which their base has, or override or remove one which it has not."""
+    base = fileset.where("base_id = 0").select(F.col("id").alias("base_id"))
+    deltas = fileset.where("base_id <> 0").join(base, "base_id", "left_semi").select("id", "base_id")
+    had = file.select(F.col("fileset_id").alias("base_id"), "path", F.lit(True).alias("had")).distinct()
+    rows = file.where(F.col("role").isin(ROLE_OVERRIDE, ROLE_ADD, ROLE_REMOVE)).select(F.col("fileset_id").alias("id"), "path", "role").join(deltas, "id").join(had, ["base_id", "path"], "left")
+    bad = (F.col("role") == ROLE_ADD) == F.col("had").isNotNull()
+    return _bad(rows.where(bad).select("id").distinct().withColumn("kind", F.lit("bad_file_role")), "id")
+
+
+def audit_group_hashes(groups: DataFrame, bindings: DataFrame, chunk: DataFrame) -> DataFrame:
+    """bad_layout: groups whose hash is not that of their chunks' hashes in order; groups without chunks hash nothing."""
+    bound = group_chunks(bindings, chunk).groupBy("chunk_group_id").agg(F.sort_array(F.collect_list(F.struct("chunk_offset", "hash"))).alias("c"))
+    want = bound.select(F.col("chunk_group_id").alias("id"), group_hash(F.col("c.hash")).alias("want"))
+    rows = groups.join(want, "id", "left").withColumn("want", F.coalesce("want", group_hash(F.array().cast("array<string>"))))
+    return _bad(rows.withColumn("kind", F.when(~F.col("hash").eqNullSafe(F.col("want")), "bad_layout")), "id")
+
+
 def audit_backups(backup: DataFrame, fileset: DataFrame) -> DataFrame:
     """missing_base, base_not_base, missing_delta, delta_of_other_base, bad_file_count and bad_sizes, the first of them."""
     s = fileset.select("id", "base_id", "file_count", "file_raw_size_sum", "file_stored_size_sum")

@@ -627,6 +627,18 @@ def audit_filesets(t: Tables) -> DataFrame:
     return audits.audit_filesets(t.fileset, t.file, t.backup)
 
 
+@query("""select distinct f.fileset_id as id, 'bad_file_role' as kind from file f join fileset s on s.id = f.fileset_id join fileset b on b.id = s.base_id and b.base_id = 0
+where s.base_id <> 0 and ((f.role = 3 and exists (select 1 from file o where o.fileset_id = s.base_id and o.path = f.path)) or (f.role in (2, 4) and not exists (select 1 from file o where o.fileset_id = s.base_id and o.path = f.path)))""")
+def audit_file_roles(t: Tables) -> DataFrame:
+    return audits.audit_file_roles(t.fileset, t.file)
+
+
+@query("""with h as (select chunk_group_id, sha256(string_agg(hash, chr(0) order by chunk_offset, hash)) as want from chunk_binding join chunk on chunk_id = id group by all)
+select id, 'bad_layout' as kind from chunk_group left join h on chunk_group_id = id where hash is distinct from coalesce(want, sha256(''))""")
+def audit_group_hashes(t: Tables) -> DataFrame:
+    return audits.audit_group_hashes(t.chunk_group, t.chunk_binding, t.chunk)
+
+
 _audit_backups = """select * from (select k.id, case when b.id is null then 'missing_base' when b.base_id <> 0 then 'base_not_base' when d.id is null then 'missing_delta' when d.base_id <> b.id then 'delta_of_other_base'
 when b.file_count + d.file_count <> k.file_count then 'bad_file_count' when b.file_raw_size_sum + d.file_raw_size_sum <> k.file_raw_size_sum or b.file_stored_size_sum + d.file_stored_size_sum <> k.file_stored_size_sum then 'bad_sizes' end as kind
 from backup k left join fileset b on b.id = k.fileset_id_base left join fileset d on d.id = k.fileset_id_delta) where kind is not null"""

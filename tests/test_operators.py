@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import hashlib
 import random
 import tarfile
 
@@ -10,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lamina.functions import codecs, units
-from lamina.operators import content, layout, predicates, retention, snapshots
+from lamina.operators import audits, content, layout, predicates, retention, snapshots
 from lamina.sources import archives
 from lamina.streaming import presence
 
@@ -215,3 +216,14 @@ def test_presence_stream(spark, tmp_path):
     run = presence.stream_states(stream).writeStream.format("memory").queryName("states").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     run.awaitTermination(120)
     assert sorted(tuple(r) for r in spark.sql("select * from states").collect()) == [("u", False, 4), ("u", True, 2), ("v", True, 3)]
+
+
+def test_roles_and_group_hashes_are_audited(spark):
+    file = spark.createDataFrame([_file(1, "a"), _file(101, "a", 3), _file(102, "b", 2), _file(103, "b", 4), _file(104, "a", 2), _file(104, "b", 3)], FILE)
+    fileset = spark.createDataFrame([(1, 0), (101, 1), (102, 1), (103, 1), (104, 1)], "id long, base_id long")
+    assert sorted(map(tuple, audits.audit_file_roles(fileset, file).collect())) == [(i, "bad_file_role") for i in (101, 102, 103)]
+    chunk = spark.createDataFrame([(1, "b", 5, 5), (2, "a", 5, 5)], "id long, hash string, raw_size long, stored_size long")
+    bindings = spark.createDataFrame([(g, o, c) for g in (1, 2) for o, c in ((0, 1), (5, 2))], "chunk_group_id long, chunk_offset long, chunk_id long")
+    digest = lambda *x: hashlib.sha256("\0".join(x).encode()).hexdigest()
+    groups = spark.createDataFrame([(1, digest("b", "a")), (2, digest("a", "b"))], "id long, hash string")
+    assert list(map(tuple, audits.audit_group_hashes(groups, bindings, chunk).collect())) == [(2, "bad_layout")]
