@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from lamina.llm.common import BROADCAST_ROWS, materialize
 from lamina.llm.urls import host_of
 
-#: A subtree is template if it has at least MANY contexts on its host and at least SHARE of the host's.
-MANY, SHARE = 4, 0.01
+#: A subtree is template if it has at least MANY contexts on its host.
+MANY = 4
 
 #: Element kinds.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -352,7 +352,7 @@ def templates_of(pages: DataFrame) -> DataFrame:
     """host, hash: the template subtrees of each host, from all pages (host, html).
 
     Contexts are counted in two steps, so that neither a host nor a subtree with a third of all rows meets
-    in one task; with a share of the host's contexts as least count, a host has a bounded number of them.
+    in one task; the least count is the same on every host, and tables too large to broadcast are joined.
     """
 
     def emit(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -365,9 +365,7 @@ def templates_of(pages: DataFrame) -> DataFrame:
                 )
 
     rows = pages.select("host", "html").mapInArrow(emit, "host string, hash long, context long")
-    counts = materialize(rows.distinct().groupBy("host", "hash").agg(F.count("*").alias("contexts")).where(F.col("contexts") >= MANY), "html-counts")
-    sizes = pages.groupBy("host").agg(F.count("*").alias("pages"))
-    return counts.join(sizes, "host").where(F.col("contexts") >= SHARE * F.col("pages")).select("host", "hash")
+    return rows.distinct().groupBy("host", "hash").agg(F.count("*").alias("contexts")).where(F.col("contexts") >= MANY).select("host", "hash")
 
 
 def extract(pages: DataFrame) -> DataFrame:

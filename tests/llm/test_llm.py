@@ -143,3 +143,15 @@ def test_url_rules(spark):
     labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
     got = {r["page_id"]: (r["host"], r["path"], r["rule"]) for r in urls.judge(pages, urls.labelled_urls(pages, labels)).collect()}
     assert got == {1: ("a.example.com", "/en/1", "example.com/en/"), 2: ("www.example.com", "/en/2", "www.example.com/en/"), 3: ("b.net", "/fr/", "net/fr/"), 4: ("", "", None), 5: ("", "", None)}
+
+
+def _texts(spark, pages):
+    rows = [(i, f"http://a.net/{i}", x) for i, x in enumerate(pages)]
+    return {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+def test_templates_of_hosts_with_many_copies(spark):
+    rng = random.Random(5)
+    pages = [f"<article><p>{_prose(rng, 40)}</p><div>Read our other pages</div></article>" for _ in range(5)]
+    texts = _texts(spark, [pages[i % 5] for i in range(700)])
+    assert not any("other pages" in x for x in texts.values())
