@@ -8,8 +8,11 @@ of the article (menus, forms, notices, ...: by element, role, class or id), and
 writes the blocks of what is left of the article.
 
 Paragraphs inside an article are never template: passages that pages share and
-copies of whole articles are text.  Inside an article only containers count,
-each once per parent's content; outside it, each subtree once per page content.
+copies of whole articles are text.  Outside an article each subtree counts once
+per page content.  Inside it only containers count, by the text of the article
+around them: SALTS min-hashes of its word shingles each have to take many values,
+so near copies of an article, which share most shingles, do not make what they
+share a template.
 """
 
 from __future__ import annotations
@@ -29,6 +32,8 @@ from lamina.llm.urls import host_of
 
 #: A subtree is template if it has at least MANY contexts on its host.
 MANY = 4
+#: Min-hashes of an article's text around a container, and words of a shingle.
+SALTS, WORDS = 8, 3
 
 #: Element kinds.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -241,8 +246,42 @@ def _signed(value: int) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
-def candidates(source: str) -> list[tuple[int, int]]:
-    """(subtree hash, context hash) of the elements of a page that may be template."""
+_mixers = np.random.default_rng(7).integers(0, 1 << 63, SALTS, np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def _around(page: Page, wanted: list[int], inside: np.ndarray) -> dict[int, list[int]]:
+    """For each wanted element inside the article, min-hashes of the article's text outside its subtree; zeros without such text."""
+    words: list[str] = []
+    begin, end = [0] * len(page.tags), [0] * len(page.tags)
+    stack: list[int] = []
+    for event in page.events:
+        if isinstance(event, str):
+            if stack and inside[stack[-1]] and page.tags[stack[-1]] not in RAW:
+                words += event.split()
+        elif event >= 0:
+            begin[event] = len(words)
+            stack.append(event)
+        else:
+            end[~event] = len(words)
+            stack.pop()
+
+    text = lambda some: xxhash.xxh3_64_intdigest(" ".join(some).encode("utf-8", "surrogatepass"))
+    raw = np.array([text(words[at : at + WORDS]) for at in range(len(words) - WORDS + 1)], np.uint64)
+    mixed = raw[:, None] * _mixers
+    mixed = (mixed ^ (mixed >> np.uint64(31))) * _mixers
+    ahead, behind = np.minimum.accumulate(mixed, axis=0), np.minimum.accumulate(mixed[::-1], axis=0)[::-1]
+    out = {}
+    for element in wanted:
+        first, last = begin[element], end[element]
+        sides = [ahead[first - WORDS]] if first >= WORDS else []
+        sides += [behind[last]] if len(words) - last >= WORDS else []
+        few = words[:first] + words[last:] if not sides else []
+        out[element] = [int(x) for x in np.min(sides, axis=0)] if sides else [text(few) if few else 0] * SALTS
+    return out
+
+
+def candidates(source: str) -> list[tuple[int, int, int]]:
+    """(subtree hash, salt, context hash) of the elements of a page that may be template; salt 0 outside the article."""
     page = Page(source)
     if not page.tags:
         return []
@@ -261,15 +300,21 @@ def candidates(source: str) -> list[tuple[int, int]]:
         content = xxhash.xxh3_64_intdigest(b"".join(hashes[root].to_bytes(8, "little") for root in roots))
     else:
         content = hashes[0]
-    rows = set()
+    rows, within = set(), []
     for element, tag in enumerate(page.tags):
         if holds[element] or not lengths[element] or tag not in BLOCK or tag in ("html", "head", "body", "title"):
             continue
         if inside[element]:
             if tag in CONTAINERS:
-                rows.add((_signed(hashes[element]), _signed(hashes[page.parents[element]])))
+                within.append(element)
         else:
-            rows.add((_signed(hashes[element]), _signed(content)))
+            rows.add((_signed(hashes[element]), 0, _signed(content)))
+    if within:
+        held = np.zeros(len(page.tags), bool)
+        for root in roots:
+            held[root : ends[root]] = True
+        for element, values in _around(page, within, held).items():
+            rows.update((_signed(hashes[element]), salt, _signed(value)) for salt, value in enumerate(values, 1))
     return list(rows)
 
 
@@ -361,11 +406,12 @@ def templates_of(pages: DataFrame) -> DataFrame:
                 hosts, found = part.column(0).slice(at, 512), [candidates(x) if x else [] for x in part.column(1).slice(at, 512).to_pylist()]
                 index = np.repeat(np.arange(len(found)), [len(x) for x in found])
                 yield pa.RecordBatch.from_pydict(
-                    {"host": hosts.take(pa.array(index)), "hash": pa.array([h for rows in found for h, _ in rows], pa.int64()), "context": pa.array([c for rows in found for _, c in rows], pa.int64())}
+                    {"host": hosts.take(pa.array(index)), "hash": pa.array([h for rows in found for h, _, _ in rows], pa.int64()), "salt": pa.array([s for rows in found for _, s, _ in rows], pa.int32()), "context": pa.array([c for rows in found for _, _, c in rows], pa.int64())}
                 )
 
-    rows = pages.select("host", "html").mapInArrow(emit, "host string, hash long, context long")
-    return rows.distinct().groupBy("host", "hash").agg(F.count("*").alias("contexts")).where(F.col("contexts") >= MANY).select("host", "hash")
+    rows = pages.select("host", "html").mapInArrow(emit, "host string, hash long, salt int, context long")
+    counts = rows.distinct().groupBy("host", "hash", "salt").agg(F.count("*").alias("contexts")).where(F.col("contexts") >= MANY)
+    return counts.groupBy("host", "hash").agg(F.count_if(F.col("salt") == 0).alias("out"), F.count_if(F.col("salt") > 0).alias("in")).where(f"out > 0 or in = {SALTS}").select("host", "hash")
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -399,7 +445,7 @@ def _by_page(rows: DataFrame, templates: DataFrame) -> DataFrame:
 
     def emit(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            found = [{h for h, _ in candidates(x)} if x else set() for x in part.column(2).to_pylist()]
+            found = [{h for h, _, _ in candidates(x)} if x else set() for x in part.column(2).to_pylist()]
             index = pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found]))
             yield pa.RecordBatch.from_pydict({"host": part.column(0).take(index), "page": part.column(1).take(index), "hash": pa.array([h for x in found for h in x], pa.int64())})
 

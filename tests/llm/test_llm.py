@@ -155,3 +155,12 @@ def test_templates_of_hosts_with_many_copies(spark):
     pages = [f"<article><p>{_prose(rng, 40)}</p><div>Read our other pages</div></article>" for _ in range(5)]
     texts = _texts(spark, [pages[i % 5] for i in range(700)])
     assert not any("other pages" in x for x in texts.values())
+
+
+def test_shared_parts_of_near_copies_are_text(spark):
+    rng = random.Random(6)
+    base, box = _prose(rng, 60), "<table><tr><td>shared table of figures</table>"
+    near = [f"<article><p>{base}</p>{box}<p>{_prose(rng, 8)}</p></article>" for _ in range(4)]
+    other = [f"<article><p>{_prose(rng, 60)}</p><div>Read our other pages</div></article>" for _ in range(8)]
+    texts = _texts(spark, near + other)
+    assert all("shared table of figures" in texts[i] for i in range(4)) and not any("other pages" in x for x in texts.values())
