@@ -297,6 +297,38 @@ def range_lookup(t: Tables) -> DataFrame:
     return lineage.chunk_at(positions, lineage.blob_chunks(t.blob_binding, t.chunk_binding, t.chunk)).select("blob_id", "position", "chunk_id")
 
 
+# the same operators over whole tables
+
+
+@query("select chunk_group_id, chunk_offset, chunk_id, hash, raw_size, stored_size from chunk_binding join chunk on chunk_id = id")
+def group_chunks_whole(t: Tables) -> DataFrame:
+    return lineage.group_chunks(t.chunk_binding, t.chunk)
+
+
+@query("select id from chunk where id not in (select chunk_id from chunk_binding)")
+def orphan_chunks_whole(t: Tables) -> DataFrame:
+    return audits.orphans(t.chunk.select("id"), "id", t.chunk_binding, "chunk_id")
+
+
+@query("select distinct path, role from file")
+def project_paths_whole(t: Tables) -> DataFrame:
+    return t.file.select("path", "role").distinct()
+
+
+@query(f"select fileset_id, path, count(*) as backups, min(backup_id) as first from ({_containing.replace(" where path like 'en/src1/%'", "")}) group by all")
+def backups_containing_file_whole(t: Tables) -> DataFrame:
+    found = lineage.containing_file(t.file.select("fileset_id", "path"), t.file, t.backup)
+    return found.groupBy("fileset_id", "path").agg(F.count("*").alias("backups"), F.min("backup_id").alias("first"))
+
+
+@query("""with g as (select distinct chunk_group_id as id from chunk_binding where chunk_id in (select id from chunk)),
+b as (select distinct blob_id as id from blob_binding where chunk_group_id in (select id from g)), s as (select distinct fileset_id as id from file where blob_id in (select id from b)),
+k as (select id from backup where fileset_id_base in (select id from s) or fileset_id_delta in (select id from s))
+select 'chunk_group' as kind, id from g union all select 'blob', id from b union all select 'fileset', id from s union all select 'backup', id from k""")
+def affected_whole(t: Tables) -> DataFrame:
+    return lineage.affected(t.chunk.select("id"), t.chunk_binding, t.blob_binding, t.file, t.backup)
+
+
 # snapshots
 
 _pairs = "(select distinct fileset_id_base as base, fileset_id_delta as delta from backup)"
