@@ -174,17 +174,24 @@ class Page:
         raw = self.raw[element]
         return {k.lower(): html.unescape((v or "").strip("\"'")) for k, v in _attribute.findall(raw)} if raw.strip(" /\t\r\n") else {}
 
-    def named(self, element: int, large: bool = False) -> bool:
+    def named(self, element: int, large: bool = False, inside: bool = False) -> bool:
         """Whether role, class, id or hiding says that the element is no part of the article.
 
-        Of a large element (most of the text) a third of the words has to say so.
+        Of a large element (most of the text) a third of the words has to say so.  Inside an article an id
+        counts as a whole only, as slugs of headings are ids; of headings and paragraphs it never counts, and
+        their classes and roles count as wholes.
         """
         if not self.raw[element].strip(" /\t\r\n"):
             return False
         own = self.attributes(element)
         if "hidden" in own or own.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", own.get("style", ""), re.I):
             return True
-        words = {w.lower() for key in ("class", "id", "role") for w in _split.split(own.get(key, "")) if w}
+        if not inside:
+            words = {w.lower() for key in ("class", "id", "role") for w in _split.split(own.get(key, "")) if w}
+        elif self.tags[element] in PARAGRAPHS or self.tags[element] in HEADINGS:
+            words = {w.lower() for key in ("class", "role") for w in own.get(key, "").split()}
+        else:
+            words = {w.lower() for key in ("class", "role") for w in _split.split(own.get(key, "")) if w} | ({own["id"].lower()} if own.get("id") else set())
         hits = len(words & NAMES)
         return hits > 0 and (not large or 3 * hits >= len(words))
 
@@ -354,7 +361,7 @@ def main_text(source: str | None, templates: frozenset[int] | set[int] = frozens
         if tag in DROPPED:
             gone[element] = True
         elif roots:
-            gone[element] = (recurs and tag in CONTAINERS) or page.named(element, lengths[element] > holder / 2) or (tag == "header" and not any(page.tags[x] in HEADINGS for x in range(element + 1, ends[element])))
+            gone[element] = (recurs and tag in CONTAINERS) or page.named(element, lengths[element] > holder / 2, inside=True) or (tag == "header" and not any(page.tags[x] in HEADINGS for x in range(element + 1, ends[element])))
         elif tag not in ("html", "body"):
             most = lengths[element] > total / 2
             menu = tag in CONTAINERS and lengths[element] and linked[element] > 0.6 * lengths[element]

@@ -164,3 +164,11 @@ def test_shared_parts_of_near_copies_are_text(spark):
     other = [f"<article><p>{_prose(rng, 60)}</p><div>Read our other pages</div></article>" for _ in range(8)]
     texts = _texts(spark, near + other)
     assert all("shared table of figures" in texts[i] for i in range(4)) and not any("other pages" in x for x in texts.values())
+
+
+@pytest.mark.parametrize(
+    "part", ["<h2 id='related-work'>kept</h2>", "<section id='search-trees'>kept</section>", "<section id='social-impact'><p>kept</p></section>", "<p class='notice-period'>kept</p>"]
+)
+def test_slugs_in_articles_are_text(part):
+    page = f"<article><p>A paragraph of the article, long enough to be most of it.</p>{part}<div class='share-buttons'>gone</div><div id='comments'>gone</div></article>"
+    assert "kept" in html.main_text(page) and "gone" not in html.main_text(page)
