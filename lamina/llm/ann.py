@@ -144,6 +144,12 @@ class Graph:
         return beam
 
 
+def _others(rows: np.ndarray, first: int, after: int, k: int) -> np.ndarray:
+    """The first k of ascending rows that are not in [first, after)."""
+    low, high = np.searchsorted(rows, first), np.searchsorted(rows, after)
+    return np.concatenate([rows[: min(low, k)], rows[high : high + k]])[:k]
+
+
 def _probe(ids: np.ndarray, matrix: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, best: Best) -> None:
     norms = np.sqrt((matrix * matrix).sum(axis=1))
     ids, matrix, norms = ids[norms > 0], matrix[norms > 0], norms[norms > 0]
@@ -165,14 +171,16 @@ def _probe(ids: np.ndarray, matrix: np.ndarray, query_ids: np.ndarray, queries:
         some = valid[at : at + BLOCK]
         beams = graph.search((queries[some] / asked[some][:, None]).astype(np.float32))
         for query, beam in zip(some, beams, strict=True):
-            nodes = beam[beam >= 0]
+            first_own, after_own = np.searchsorted(ids, query_ids[query]), np.searchsorted(ids, query_ids[query], "right")
+            some_of = {x: _others(members[x], first_own, after_own, best.k) for x in beam[beam >= 0].tolist()}
+            nodes = np.array([x for x, rows in some_of.items() if len(rows)], np.int64)
+            if not len(nodes):
+                continue
             scores = (vectors[nodes] * queries[query]).sum(axis=1) / (lengths[nodes] * asked[query])
-            top = np.argsort(-scores, kind="stable")[: best.k + 1]  # one may be the query's own
+            top = np.argsort(-scores, kind="stable")[: best.k]
             tied = np.flatnonzero(scores >= scores[top[-1]])
-            rows = [members[nodes[x]][: best.k + 1] for x in tied]
-            named, value = ids[np.concatenate(rows)], np.repeat(scores[tied], [len(x) for x in rows])
-            other = named != query_ids[query]
-            best.add(query, named[other], value[other])
+            rows = [some_of[int(nodes[x])] for x in tied]
+            best.add(query, ids[np.concatenate(rows)], np.repeat(scores[tied], [len(x) for x in rows]))
 
 
 def nearest(table: DataFrame, ids: str, vectors: str, is_query: Column, k: int = 5) -> DataFrame:

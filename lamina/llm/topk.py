@@ -53,13 +53,13 @@ class ImpactIndex:
         self.low, self.high = np.concatenate(low), np.concatenate(high)
         self.end = np.append(self.first[1:], n * dims)
 
-    def probe(self, query: np.ndarray, floor: int | None, k: int) -> np.ndarray:
-        """Rows that may belong to the k best: all whose upper bound reaches the k-th best score known."""
+    def probe(self, query: np.ndarray, floor: int | None, k: int, other: np.ndarray) -> np.ndarray:
+        """Rows among `other` that may belong to the k best: all whose upper bound reaches the k-th best score known."""
         weight = query[self.dim]
         gain = np.where(weight >= 0, weight * self.high, weight * self.low)
         order = np.argsort(-gain, kind="stable")
         order = order[gain[order] > 0]
-        bound = np.zeros(len(self.rows))  # whole numbers, exact in float64
+        bound = np.where(other, 0.0, -np.inf)  # whole numbers, exact in float64
         for part in np.array_split(order, PARTS):
             visited = np.concatenate([self.posts[self.first[x] : self.end[x]] for x in part]) if len(part) else part
             bound += np.bincount(visited, np.repeat(gain[part], self.end[part] - self.first[part]), len(bound))
@@ -68,10 +68,10 @@ class ImpactIndex:
                 return np.empty(0, np.int64)
         if floor is None or (bound >= floor).sum() > FIRST:
             top = np.argpartition(-bound, min(FIRST, len(bound) - 1))[:FIRST]
-            exact = np.sort(self.rows[top] @ query)[::-1]
-            if len(exact) > k:  # one more than k, as the query's own row may be among them
-                floor = max(exact[k], floor if floor is not None else exact[k])
-        return np.flatnonzero(bound >= floor) if floor is not None else np.arange(len(bound))
+            exact = np.sort(self.rows[top[other[top]]] @ query)[::-1]
+            if len(exact) >= k:
+                floor = max(exact[k - 1], floor if floor is not None else exact[k - 1])
+        return np.flatnonzero(bound >= floor) if floor is not None else np.flatnonzero(other)
 
     def _rest(self, segments: np.ndarray, gain: np.ndarray) -> int:
         """R: the sum over dimensions of the largest gain among segments not yet added."""
@@ -83,8 +83,7 @@ class ImpactIndex:
 def _probe(ids: np.ndarray, matrix: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, best: Best) -> None:
     index = ImpactIndex(impacts(matrix))
     for at, (own, query) in enumerate(zip(query_ids, impacts(queries), strict=True)):
-        rows = index.probe(query, best.floor(at), best.k)
-        rows = rows[ids[rows] != own]
+        rows = index.probe(query, best.floor(at), best.k, ids != own)
         if len(rows):
             best.add(at, ids[rows], index.rows[rows] @ query)
 

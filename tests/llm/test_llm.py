@@ -172,3 +172,16 @@ def test_shared_parts_of_near_copies_are_text(spark):
 def test_slugs_in_articles_are_text(part):
     page = f"<article><p>A paragraph of the article, long enough to be most of it.</p>{part}<div class='share-buttons'>gone</div><div id='comments'>gone</div></article>"
     assert "kept" in html.main_text(page) and "gone" not in html.main_text(page)
+
+
+def test_repeated_query_ids_leave_the_search_exact(spark):
+    rng = np.random.default_rng(4)
+    vectors = np.concatenate([np.tile([4.0] * 4, (6, 1)), rng.normal(size=(80, 4)).round(2)])
+    ids = [50] * 6 + list(range(101, 181))
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, vectors, strict=True)], "vec_id long, embedding array<double>").coalesce(1)
+    whole = topk.impacts(vectors)
+    scores = whole[6:] @ whole[0]
+    want = [ids[6 + i] for i in np.lexsort((np.arange(80), -scores))[:5]]
+    query = F.col("vec_id") == 50
+    assert [r["vec_id"] for r in topk.exact_top_k(table, "vec_id", "embedding", query).orderBy("rank").collect()] == want
+    assert len(ann.nearest(table, "vec_id", "embedding", query).collect()) == 5
