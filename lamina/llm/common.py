@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,37 +18,58 @@ _own: list[str] = []
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of the session's `spark.checkpoint.dir`; only where that is unset (tests) one of our own."""
+    """The shared folder of the session's `spark.checkpoint.dir`; a folder of our own only where that is unset and the master is local (tests)."""
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not shared:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError(f"spark.checkpoint.dir is unset on {master}: set it to a folder that the driver and all executors share")
         _own.append("file://" + tempfile.mkdtemp(prefix="lamina-")) if not _own else None
         shared = _own[0]
     return shared.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str = "t") -> DataFrame:
-    """Writes df as Parquet into the shared folder and reads it back: lineage ends here and lost executors cost nothing.
-
-    Shuffle files of the finished write are removed at once, as the table replaces them.
-    """
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/lamina-{name}-{uuid.uuid4().hex}"
+@contextlib.contextmanager
+def _cleaned(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of the writes inside are removed as soon as these end, as the written table replaces them."""
     key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     before = spark.conf.get(key, "false")
     spark.conf.set(key, "true")
     try:
-        df.write.parquet(path)
+        yield
     finally:
         spark.conf.set(key, before)
+
+
+def materialize(df: DataFrame, name: str = "t") -> DataFrame:
+    """Writes df as Parquet into the shared folder and reads it back: lineage ends here and lost executors cost nothing."""
+    spark = df.sparkSession
+    path = f"{scratch_dir(spark)}/lamina-{name}-{uuid.uuid4().hex}"
+    with _cleaned(spark):
+        df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._lamina_path = path
     return out
 
 
-def discard(*frames: DataFrame) -> None:
+def materialize_by(df: DataFrame, key: str, parts: int, name: str = "t") -> DataFrame:
+    """`materialize`, bucketed by a column: joins on it, against a side of `parts` partitions, leave this table where it lies."""
+    spark = df.sparkSession
+    run = uuid.uuid4().hex
+    path, table = f"{scratch_dir(spark)}/lamina-{name}-{run}", f"lamina_{run}"
+    with _cleaned(spark):
+        df.write.format("parquet").bucketBy(parts, key).option("compression", "zstd").option("path", path).saveAsTable(table)
+    out = spark.table(table)
+    out._lamina_path, out._lamina_table = path, table
+    return out
+
+
+def discard(*frames: DataFrame | None) -> None:
     """Deletes tables of `materialize` that no later plan reads."""
     for df in frames:
         path = getattr(df, "_lamina_path", None)
+        if getattr(df, "_lamina_table", None):
+            df.sparkSession.sql(f"drop table if exists {df._lamina_table}")
         if path:
             jvm = df.sparkSession.sparkContext._jvm
             where = jvm.org.apache.hadoop.fs.Path(path)
@@ -82,10 +103,3 @@ def fresh(df: DataFrame, stem: str) -> str:
 def texts_of(column: pa.Array) -> list[bytes | None]:
     """UTF-8 bytes of a string column, None for nulls."""
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
-
-
-def batches(columns: dict[str, np.ndarray | list | pa.Array], rows: int = 1 << 17) -> Iterator[pa.RecordBatch]:
-    """The columns as record batches of bounded size."""
-    table = pa.RecordBatch.from_pydict(columns)
-    for at in range(0, table.num_rows, rows):
-        yield table.slice(at, rows)

@@ -27,11 +27,16 @@ of a group of near copies is such a node, and joins it in one round.  Keys whose
 nodes all became one component are done; the others go on without their heads.
 Before the next round the shingles of the remaining nodes are counted over
 components: a node whose shingles are too rarely shared for any link leaves, so
-copies that differ too much from all others cost rows, not pairs.  When few
-pairs of different components are left, these are listed and verified.  Links
-inside a component need no further check.  Parities of the sets, one bit for
-each of many parts of the universe, rule out most pairs that do not link before
-their texts are read.
+copies that differ too much from all others cost rows, not pairs.  After the
+last round the nodes that are left meet by their rarest shingles: in one order
+of all shingles, rare ones first, two sets that link share one of the first
+fifth of each.  Links inside a component need no further check.  Parities of the
+sets, one bit for each of many parts of the universe, rule out most pairs that
+do not link before their texts are read.
+
+Shingles are 64-bit hashes of the words' hashes, and equal sets are those with
+equal 128-bit hashes; a pair of n shingles is misjudged with a chance of about
+n^2 / 2^64.
 """
 
 from __future__ import annotations
@@ -45,7 +50,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lamina.llm.common import discard, materialize, texts_of
+from lamina.llm.common import discard, fresh, materialize, materialize_by, texts_of
 from lamina.llm.components import components
 
 #: Words of a shingle, and the threshold 80 / 100.
@@ -53,9 +58,10 @@ WORDS = 5
 LEAST, OF = 80, 100
 #: Sizes below which no two different sets can link; bands below SMALL index one-deletion neighbourhoods.
 FIRST, SMALL = 4, 32
-#: Nodes under a key that the others meet in a round after the first; pairs that may be listed for each
-#: remaining entry; rounds after which all remaining pairs are listed.
-HEADS, PAIRS, ROUNDS = 32, 8, 2
+#: Nodes under a key that the others meet, by round; what is left then meets by rare shingles.
+HEADS = (1, 32)
+#: Shingles of a bucket of texts; least and most buckets.
+PART, LEAST_PARTS, MOST_PARTS = 1 << 21, 8, 100_000
 #: 64-bit numbers of a set's parities.
 PARITIES = 16
 #: Pairs of one node that go to one task.
@@ -155,7 +161,7 @@ def parities(found: np.ndarray) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, h, f1, f2, n, bits: hash of the text, 128 bits over its set, the set's size and parities; one row per row of `docs`."""
+    """doc_id, h, f1, f2, n, bits: hash of id and text, 128 bits over its set, the set's size and parities; one row per row of `docs`."""
 
     def emit(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
@@ -171,27 +177,36 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_pydict(columns | {"bits": pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.empty(0, np.int64), *bits])))})
 
     text = F.col("text").cast("string")
-    return docs.select(F.col("doc_id").cast("long"), F.xxhash64(text), text).mapInArrow(emit, "doc_id long, h long, f1 long, f2 long, n long, bits array<long>")
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64(F.col("doc_id").cast("long"), text), text).mapInArrow(emit, "doc_id long, h long, f1 long, f2 long, n long, bits array<long>")
 
 
-def _texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node, text: the text that stands for each of `nodes` (node, rep, rep_hash); repeated rows may repeat."""
+def _node_texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """h, node, text: the text that stands for each of `nodes`, once, bucketed by the row's hash.
+
+    This is the only shuffle of texts by row: later joins of chosen nodes read the buckets where they lie.
+    """
+    total = nodes.agg(F.sum("n")).first()[0] or 0
+    parts = min(MOST_PARTS, LEAST_PARTS + total // PART)
     text = F.col("text").cast("string")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("h")).where("text is not null")
-    stand = nodes.select("node", "rep", "rep_hash")
-    return rows.join(stand, F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("h") == F.col("rep_hash"))).select("node", "text")
+    rows = docs.select(F.xxhash64(F.col("doc_id").cast("long"), text).alias("h"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).where("text is not null").repartition(parts, "h").distinct()
+    stand = nodes.select("node", "rep", "rep_hash").hint("shuffle_hash")
+    same = F.expr("(doc_id is null and rep is null) or doc_id - rep = 0")  # no join key, so that rows stay where h put them
+    own = rows.join(stand, (F.col("h") == F.col("rep_hash")) & same).select("h", "node", "text")
+    return materialize_by(own, "h", parts, "jaccard-texts")
+
+
+def _texts(texts: DataFrame, nodes: DataFrame, some: DataFrame) -> DataFrame:
+    """node, text of the nodes in `some` (node, distinct)."""
+    wanted = nodes.select("node", "rep_hash").join(some.select("node"), "node", "left_semi")
+    return texts.join(wanted.withColumnRenamed("node", "own").hint("shuffle_hash"), (F.col("h") == F.col("rep_hash")) & F.expr("node - own = 0")).select("node", "text")
 
 
 def _entries(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """key, node, info of the nodes' texts (node, text)."""
-    last = None
     for part in parts:
         held: list[tuple[np.ndarray, np.ndarray, int]] = []
         rows = 0
         for node, text in zip(part.column(0).to_pylist(), texts_of(part.column(1)), strict=True):
-            if node == last:
-                continue  # a repeated row
-            last = node
             for keys, infos in entries(shingles(text)):
                 held.append((keys, infos, node))
                 rows += len(keys)
@@ -224,15 +239,15 @@ def _allocated(rows: DataFrame) -> DataFrame:
     return placed.withColumn("info", F.expr("if(place <= spare, info & ~2, info)")).where("(info & 7) > 0").select("key", "node", "info", "n")
 
 
-def _wild_pairs(wild: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """a, b: nodes that share a shingle with a wild node and fit it in size."""
-
-    sizes = nodes.join(wild, "node", "left_semi").agg(F.min("n"), F.max("n")).first()
-    near = nodes.where(F.col("n").between(sizes[0] * LEAST // OF, sizes[1] * OF // LEAST))
+def _wild_pairs(wild: DataFrame, texts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """a, b: nodes that fit a wild node in size and share a shingle of both prefixes in hash order."""
+    own = nodes.join(wild, "node", "left_semi")
+    sizes = own.agg(F.min("n"), F.max("n")).first()
+    near = nodes.where(F.col("n").between(sizes[0] * LEAST // OF, -(-sizes[1] * OF // LEAST)))
     schema = "shingle long, node long"
-    own = _texts(docs, nodes.join(wild, "node", "left_semi")).mapInArrow(_exploded, schema)
-    all_ = _texts(docs, near).mapInArrow(_exploded, schema)
-    return own.toDF("shingle", "b").join(all_.toDF("shingle", "a"), "shingle").where("a <> b").select("a", "b").distinct()
+    few = _texts(texts, nodes, own).mapInArrow(_prefixes, schema)
+    many = _texts(texts, nodes, near).mapInArrow(_prefixes, schema)
+    return few.toDF("shingle", "b").join(many.toDF("shingle", "a"), "shingle").where("a <> b").select("a", "b").distinct()
 
 
 def linked(one: np.ndarray, other: np.ndarray) -> bool:
@@ -245,18 +260,18 @@ def linked(one: np.ndarray, other: np.ndarray) -> bool:
     return OF * both >= LEAST * (len(one) + len(other) - both)
 
 
-def _verify(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
+def _verify(pairs: DataFrame, texts: DataFrame, nodes: DataFrame) -> DataFrame:
     """a, b of the linked ones among `pairs` (a, b), by exact intersection.
 
     The pairs of a node b are dealt over tasks by SALT; each task reads b's text once, ahead of the texts
     of its partners, and holds two sets at a time.
     """
     involved = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    texts = materialize(_texts(docs, nodes.join(involved, "node", "left_semi")), "jaccard-texts")
+    own = materialize(_texts(texts, nodes, involved), "jaccard-own")
     loads = pairs.groupBy("b").agg(F.ceil(F.count("*") / SALT).alias("tasks"))
     dealt = pairs.join(loads, "b").select("a", "b", F.pmod(F.xxhash64("a"), "tasks").alias("salt"))
-    one = texts.join(dealt, F.col("node") == F.col("a")).select("b", "salt", "a", "text")
-    other = texts.join(loads, F.col("node") == F.col("b")).select("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tasks") - 1)).alias("salt"), F.lit(None).cast("long").alias("a"), "text")
+    one = own.join(dealt, F.col("node") == F.col("a")).select("b", "salt", "a", "text")
+    other = own.join(loads, F.col("node") == F.col("b")).select("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tasks") - 1)).alias("salt"), F.lit(None).cast("long").alias("a"), "text")
     rows = one.unionByName(other).repartition("b", "salt").sortWithinPartitions("b", "salt", F.col("a").asc_nulls_first())
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -273,7 +288,7 @@ def _verify(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_pydict({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
 
     found = materialize(rows.mapInArrow(compare, "a long, b long"), "jaccard-links")
-    discard(texts)
+    discard(own)
     return found
 
 
@@ -291,22 +306,52 @@ def _exploded(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pydict({"shingle": found, "node": np.full(len(found), node, np.int64)})
 
 
-def _possible(rows: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
+def _prefixes(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """shingle, node of the first shingles in hash order of texts (node, text): as many as no partner can do without."""
+    for part in parts:
+        for node, text in zip(part.column(0).to_pylist(), texts_of(part.column(1)), strict=True):
+            found = shingles(text)
+            found = found[: len(found) - -(-LEAST * len(found) // OF) + 1].view(np.int64)
+            yield pa.RecordBatch.from_pydict({"shingle": found, "node": np.full(len(found), node, np.int64)})
+
+
+def _listed(rows: DataFrame, texts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """shingle, node, root of the nodes of `rows`."""
+    open_ = rows.select("node", "root").distinct()
+    return materialize(_texts(texts, nodes, open_).mapInArrow(_exploded, "shingle long, node long").join(open_, "node"), "jaccard-shingles")
+
+
+def _possible(rows: DataFrame, listed: DataFrame) -> DataFrame:
     """The rows (key, node, n, root) that may still link to another component, with `shared`.
 
     shared is the number of a node's shingles that a remaining node of another component has too.  No new
     link of the node holds more of its shingles, and a link of sets of sizes s and l holds at least
     4 (s + l) / 9; so under each key a node stays only if that fits the smallest partner it could have.
     """
-    open_ = rows.select("node", "root").distinct()
-    listed = materialize(_texts(docs, nodes.join(open_, "node", "left_semi")).mapInArrow(_exploded, "shingle long, node long").join(open_, "node"), "jaccard-shingles")
     common = listed.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("shingle")
-    shared = listed.join(common, "shingle", "left_semi").groupBy("node").agg(F.count_distinct("shingle").alias("shared"))
+    shared = listed.join(common, "shingle", "left_semi").groupBy("node").agg(F.count("*").alias("shared"))
     least = rows.groupBy("key").agg(F.min("n").alias("least"))
     room = f"{OF + LEAST} * shared >= {LEAST} * n + {LEAST} * greatest(least, ceil({LEAST} * n / {OF}))"
-    kept = rows.join(shared, "node").join(least, "key").where(room).select("key", "node", "n", "root", "shared")
-    out = materialize(kept, "jaccard-possible")
-    discard(listed)
+    return materialize(rows.join(shared, "node").join(least, "key").where(room).select("key", "node", "n", "root", "shared"), "jaccard-possible")
+
+
+def _rare_pairs(rows: DataFrame, listed: DataFrame, parity: DataFrame) -> DataFrame:
+    """a, b: the pairs of different components of `rows` that share one of both sets' rarest shingles, and may link by size and parities.
+
+    In one order of all shingles, here by the number of remaining nodes that have them, two sets that link
+    share one of the first n - ceil(0.8 n) + 1 of each.  What a large group has in common is frequent, so
+    comes last, and texts that are alike but do not link meet nowhere.
+    """
+    own = rows.groupBy("node").agg(F.first("n").alias("n"), F.first("root").alias("root"), F.first("shared").alias("shared"))
+    held = listed.select("shingle", "node").join(own.select("node", "n"), "node")
+    counted = held.groupBy("shingle").agg(F.count("*").alias("texts"))
+    order = Window.partitionBy("node").orderBy("texts", "shingle")
+    first = held.join(counted, "shingle").withColumn("place", F.row_number().over(order)).where(f"place <= n - ceil({LEAST} * n / {OF}) + 1 and texts > 1")
+    full = materialize(first.select("shingle", "node").join(own, "node").join(parity, "node"), "jaccard-rare")
+    other = full.toDF("shingle", "rep", "rep_n", "rep_root", "rep_shared", "rep_bits")
+    met = full.join(other, "shingle").where("root < rep_root").where(_fits).where(_covers).where(_near)
+    out = materialize(met.select(F.greatest("node", "rep").alias("a"), F.least("node", "rep").alias("b")).distinct(), "jaccard-pairs")
+    discard(full)
     return out
 
 
@@ -328,36 +373,32 @@ def _reduced(rows: DataFrame) -> DataFrame:
     return rows.join(several, "key", "left_semi")
 
 
-def _links(rows: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame | None:
+def _links(rows: DataFrame, texts: DataFrame, nodes: DataFrame) -> DataFrame | None:
     """Verified edges (a, b) that connect whatever links under the keys of `rows` (key, node, n, root)."""
     edges: DataFrame | None = None
-    rows = rows.withColumn("shared", F.col("n"))
-    for turn in range(ROUNDS + 1):
-        by_root = rows.groupBy("key", "root").agg(F.count("*").alias("c"))
-        majors = by_root.groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("major"), F.max("c").alias("most"), F.sum("c").alias("all"))
-        size = majors.agg(F.sum("all").alias("rows"), F.sum(F.expr("all * (all - most)")).alias("pairs")).first()
-        if not size["rows"]:
+    parity = nodes.select("node", "bits")
+    rows, listed = rows.withColumn("shared", F.col("n")), None
+    for most in HEADS:
+        if not rows.limit(1).count():
             break
-        last = turn == ROUNDS or (turn > 0 and size["pairs"] <= PAIRS * size["rows"])
-        heads = None if last else materialize(_heads(rows, HEADS if turn else 1), "jaccard-heads")
-        parity = nodes.select("node", "bits")
-        reps = rows.toDF(*(f"rep_{c}" if c != "key" else c for c in rows.columns)).withColumnRenamed("rep_node", "rep") if heads is None else heads
-        fewer = rows.join(majors.select("key", "major"), "key").where("root <> major") if heads is None else rows
-        pairs = fewer.join(parity, "node").join(reps.join(parity.toDF("rep", "rep_bits"), "rep"), "key")
-        pairs = pairs.where("root <> rep_root").where(_fits).where(_covers).where(_near)
+        heads = materialize(_heads(rows, most), "jaccard-heads")
+        pairs = rows.join(parity, "node").join(heads.join(parity.toDF("rep", "rep_bits"), "rep"), "key").where("root <> rep_root").where(_fits).where(_covers).where(_near)
         pairs = materialize(pairs.select(F.greatest("node", "rep").alias("a"), F.least("node", "rep").alias("b")).distinct(), "jaccard-pairs")
-        found = _verify(pairs, docs, nodes)
-        discard(pairs)
+        found = _verify(pairs, texts, nodes)
         edges = found if edges is None else edges.unionByName(found)
-        if heads is None:
-            break
         roots = components(edges)
         now = rows.select("key", "node", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         done = heads.select("key", F.col("rep").alias("node"))
         left = materialize(_reduced(now.join(done, ["key", "node"], "left_anti")), "jaccard-left")
-        discard(rows, heads, roots)
-        rows = _possible(left, docs, nodes)
+        discard(pairs, heads, roots, rows, listed)
+        listed = _listed(left, texts, nodes)
+        rows = _possible(left, listed)
         discard(left)
+    if listed is not None and rows.limit(1).count():
+        pairs = _rare_pairs(rows, listed, parity)
+        edges = edges.unionByName(_verify(pairs, texts, nodes))
+        discard(pairs)
+    discard(rows, listed)
     return edges
 
 
@@ -367,15 +408,16 @@ def _classified(docs: DataFrame) -> DataFrame:
     stand = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "h")).alias("r")
     classes = prints.where("n > 0").groupBy("f1", "f2").agg(stand, F.max("n").alias("n"), F.first("bits").alias("bits"))
     nodes = materialize(classes.select(F.monotonically_increasing_id().alias("node"), "f1", "f2", "n", "bits", F.col("r.doc_id").alias("rep"), F.col("r.h").alias("rep_hash")), "jaccard-nodes")
-    listed = _texts(docs, nodes.where(F.col("n") >= FIRST)).mapInArrow(_entries, "key long, node long, info long")
+    texts = _node_texts(docs, nodes.where(F.col("n") >= FIRST))
+    listed = texts.select("node", "text").mapInArrow(_entries, "key long, node long, info long")
     allocated = _allocated(_met(listed).join(nodes.select("node", "n"), "node"))
     kept = materialize(_met(allocated).withColumn("root", F.col("node")), "jaccard-kept")
-    edges = _links(kept.where("(info & 4) = 0").select("key", "node", "n", "root"), docs, nodes)
+    edges = _links(kept.where("(info & 4) = 0").select("key", "node", "n", "root"), texts, nodes)
     wild = kept.where("(info & 4) > 0").select("node").distinct()
     if wild.limit(1).count():
-        more = _verify(materialize(_wild_pairs(wild, docs, nodes), "jaccard-wild"), docs, nodes)
+        more = _verify(materialize(_wild_pairs(wild, texts, nodes), "jaccard-wild"), texts, nodes)
         edges = more if edges is None else edges.unionByName(more)
-    discard(kept)
+    discard(kept, texts)
     named = nodes.select("f1", "f2", F.col("rep").alias("component"), F.col("node").alias("class_"))
     if edges is not None:
         roots = components(edges)
@@ -400,14 +442,16 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of `docs`, unchanged, one for each component: the one with the smallest id.
 
-    Texts without words are all kept; of rows that agree in id and text one is kept.
+    Null and empty texts and texts without words are all kept; of rows that agree in id and text one is
+    kept; a null id stands only where a component has no other; an empty table gives no rows.
     """
+    keep_id, keep_h, row_h, row_n = (fresh(docs, stem) for stem in ("keep_id", "keep_h", "row_h", "row_n"))
     least = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "h")).alias("r")
-    keep = _classified(docs).where("n > 0").groupBy("class_").agg(least).select(F.col("r.doc_id").alias("__keep_id"), F.col("r.h").alias("__keep_h"))
-    text = F.col("text").cast("string")
+    keep = _classified(docs).where("n > 0").groupBy("class_").agg(least).select(F.col("r.doc_id").alias(keep_id), F.col("r.h").alias(keep_h))
+    text, own = F.col("text").cast("string"), F.col("doc_id").cast("long")
     worded = F.coalesce(text.rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    rows = docs.where(worded).withColumn("__row_h", F.xxhash64(text)).join(keep, F.col("doc_id").cast("long").eqNullSafe(F.col("__keep_id")) & (F.col("__row_h") == F.col("__keep_h")))
-    first = rows.withColumn("__row_n", F.row_number().over(Window.partitionBy("__keep_id", "__keep_h").orderBy(F.lit(0)))).where("__row_n = 1")
+    rows = docs.where(worded).withColumn(row_h, F.xxhash64(own, text)).join(keep, (F.col(row_h) == F.col(keep_h)) & own.eqNullSafe(F.col(keep_id)))
+    first = rows.withColumn(row_n, F.row_number().over(Window.partitionBy(keep_id, keep_h).orderBy(F.lit(0)))).where(F.col(row_n) == 1)
     return first.select(*(F.col(f"`{c}`") for c in docs.columns)).unionByName(docs.where(~worded))
 
 
