@@ -1,14 +1,16 @@
 """Approximate nearest neighbours: one hierarchical navigable small-world graph per shard.
 
-A shard's distinct unit vectors are inserted in row order.  Each layer's links
-live in one flat int32 array, `width` slots a node, -1 where empty.  The
-candidates of an insertion are the nearest of all nodes inserted before it
-(a blocked product, as a shard is bounded), then the usual diversity rule
-keeps a candidate only if it is nearer to the new node than to any neighbour
-already kept; back links are pruned by the same rule.  Queries descend the
-layers greedily and run a beam over the ground layer, all queries of a block
-in step.  What the beam holds is rescored in double precision, and copies of
-a vector are expanded to their smallest ids.
+A shard's distinct unit vectors are inserted layer by layer from the top, nodes
+of higher layers first.  Each layer's links live in one flat int32 array,
+`width` slots a node, -1 where empty.  A new node descends the finished layers
+above greedily and searches the layer as built so far with a beam; what the
+beam holds, and the nodes inserted in the same step before it, are its
+candidates.  The usual diversity rule keeps a candidate only if it is nearer to
+the new node than to any neighbour already kept; back links are pruned by the
+same rule.  Queries descend the layers in the same way and run a wider beam over
+the ground layer, all queries of a block in step.  What the beam holds is
+rescored in double precision, and copies of a vector are expanded to their
+smallest ids.
 """
 
 from __future__ import annotations
@@ -43,29 +45,41 @@ def diverse(sims: np.ndarray, nodes: np.ndarray, unit: np.ndarray, most: int) ->
 
 
 class Graph:
-    """The layers of one shard's graph over distinct unit vectors."""
+    """The layers of one shard's graph over distinct unit vectors, ground layer first."""
 
-    def __init__(self, unit: np.ndarray) -> None:
-        self.unit = unit
+    def __init__(self, unit: np.ndarray, layers: list[np.ndarray]) -> None:
+        self.unit, self.layers = unit, layers
+
+    @classmethod
+    def build(cls, unit: np.ndarray) -> Graph:
         draw = np.random.default_rng(len(unit)).random(len(unit))
         level = np.floor(-np.log(1 - draw) / np.log(LINKS)).astype(np.int64)
         level[0] = max(level.max(), 0)  # the first node is the entry of every layer
-        self.layers = [self._layer(np.flatnonzero(level >= at), LINKS * (1 if at else 2)) for at in range(int(level[0]) + 1)]
-
-    def _layer(self, members: np.ndarray, width: int) -> np.ndarray:
+        graph = cls(unit, [])
+        order = np.argsort(-level, kind="stable")
+        order = np.concatenate([[0], order[order != 0]])
+        for at in range(int(level[0]), -1, -1):
+            members = order[level[order] >= at]
+            graph.layers.insert(0, graph._layer(members, int((level[members] > at).sum()), LINKS * (1 if at else 2)))
+        return graph
+
+    def _layer(self, members: np.ndarray, above: int, width: int) -> np.ndarray:
+        """The links of a layer; the first `above` members are in the layer above too."""
         links = np.full((len(self.unit), width), -1, np.int32)
         at = 1
         while at < len(members):
-            new = members[at : at + min(INSERT, at)]
-            seen = members[: at + len(new)]
-            sims = self.unit[new] @ self.unit[seen].T
-            sims[np.arange(len(seen))[None, :] >= at + np.arange(len(new))[:, None]] = -np.inf
-            most = min(BUILD, len(seen))
+            upto = above if at < above else len(members)
+            new = members[at : min(upto, at + min(INSERT, at))]
+            start = np.full(len(new), members[0]) if at < above or not self.layers else self._descend(self.unit[new], self.layers)
+            found = self._beam(links, self.unit[new], start, min(BUILD, at))
+            mates = np.where(np.arange(len(new))[None, :] < np.arange(len(new))[:, None], new[None, :], -1)
+            near = np.concatenate([found, mates], axis=1)
+            sims = np.concatenate([np.einsum("nwd,nd->nw", self.unit[np.maximum(found, 0)], self.unit[new]), self.unit[new] @ self.unit[new].T], axis=1)
+            sims[near < 0] = -np.inf
+            most = min(BUILD, near.shape[1])
             top = np.argpartition(-sims, most - 1, axis=1)[:, :most]
-            near = np.take_along_axis(sims, top, 1)
-            order = np.argsort(-near, axis=1, kind="stable")
-            near, top = np.take_along_axis(near, order, 1), np.take_along_axis(top, order, 1)
-            chosen = diverse(near, np.where(np.isfinite(near), seen[top], -1).astype(np.int32), self.unit, LINKS)
+            top = np.take_along_axis(top, np.argsort(-np.take_along_axis(sims, top, 1), axis=1, kind="stable"), 1)
+            chosen = diverse(np.take_along_axis(sims, top, 1), np.take_along_axis(near, top, 1).astype(np.int32), self.unit, LINKS)
             links[new, :LINKS] = chosen
             self._back(links, np.repeat(new, LINKS), chosen.ravel())
             at += len(new)
@@ -96,11 +110,14 @@ class Graph:
 
     def search(self, queries: np.ndarray) -> np.ndarray:
         """Nodes in each query's final beam, -1 where it holds fewer."""
-        count = len(queries)
-        here = np.zeros(count, np.int64)
+        return self._beam(self.layers[0], queries, self._descend(queries, self.layers[1:]), BEAM)
+
+    def _descend(self, queries: np.ndarray, layers: list[np.ndarray]) -> np.ndarray:
+        """The node where each query's greedy descent through `layers`, from the last one, ends."""
+        here = np.zeros(len(queries), np.int64)
         best = queries @ self.unit[0]
-        for links in reversed(self.layers[1:]):
-            moving = np.arange(count)
+        for links in reversed(layers):
+            moving = np.arange(len(queries))
             while len(moving):
                 near = links[here[moving]]
                 sims = np.einsum("qwd,qd->qw", self.unit[np.maximum(near, 0)], queries[moving])
@@ -110,17 +127,21 @@ class Graph:
                 up = gain > best[moving]
                 here[moving[up]], best[moving[up]] = near[up, to[up]], gain[up]
                 moving = moving[up]
-        ground = self.layers[0]
-        beam = np.full((count, BEAM), -1, np.int64)
-        sims = np.full((count, BEAM), -np.inf, np.float32)
-        open_ = np.zeros((count, BEAM), bool)
-        beam[:, 0], sims[:, 0], open_[:, 0] = here, best, True
+        return here
+
+    def _beam(self, links: np.ndarray, queries: np.ndarray, start: np.ndarray, width: int) -> np.ndarray:
+        """The `width` nearest nodes that a beam from `start` finds over `links`, -1 where there are fewer."""
+        count, step = len(queries), min(EXPAND, width)
+        beam = np.full((count, width), -1, np.int64)
+        sims = np.full((count, width), -np.inf, np.float32)
+        open_ = np.zeros((count, width), bool)
+        beam[:, 0], sims[:, 0], open_[:, 0] = start, np.einsum("qd,qd->q", queries, self.unit[start]), True
         seen = np.zeros((count, len(self.unit)), bool)
-        seen[np.arange(count), here] = True
+        seen[np.arange(count), start] = True
         going = np.arange(count)
         while len(going):
             waiting = np.where(open_[going], sims[going], -np.inf)
-            pick = np.argpartition(-waiting, EXPAND - 1, axis=1)[:, :EXPAND]
+            pick = np.argpartition(-waiting, step - 1, axis=1)[:, :step]
             chosen = np.take_along_axis(waiting, pick, 1) > -np.inf
             live = chosen.any(axis=1)
             going, pick, chosen = going[live], pick[live], chosen[live]
@@ -128,7 +149,7 @@ class Graph:
                 break
             rows = going[:, None]
             open_[rows, pick] = False
-            near = np.where(chosen[:, :, None], ground[np.maximum(beam[rows, pick], 0)], -1).reshape(len(going), -1)
+            near = np.where(chosen[:, :, None], links[np.maximum(beam[rows, pick], 0)], -1).reshape(len(going), -1)
             near = np.sort(near, axis=1)
             new = (near >= 0) & ~seen[rows, np.maximum(near, 0)]
             new[:, 1:] &= near[:, 1:] != near[:, :-1]
@@ -139,48 +160,70 @@ class Graph:
             pool = np.concatenate([beam[going], np.where(new, near, -1)], axis=1)
             value = np.concatenate([sims[going], score], axis=1)
             fresh = np.concatenate([open_[going], new], axis=1)
-            keep = np.argpartition(-value, BEAM - 1, axis=1)[:, :BEAM]
+            keep = np.argpartition(-value, width - 1, axis=1)[:, :width]
             beam[going], sims[going], open_[going] = (np.take_along_axis(x, keep, 1) for x in (pool, value, fresh))
         return beam
 
 
+def scaled(matrix: np.ndarray) -> np.ndarray:
+    """Vectors times a power of two that brings the largest component near 1: cosines stay, squares neither overflow nor vanish."""
+    _, power = np.frexp(np.abs(matrix).max(axis=1, initial=0.0))
+    return np.ldexp(matrix, -power[:, None])
+
+
 def _others(rows: np.ndarray, first: int, after: int, k: int) -> np.ndarray:
     """The first k of ascending rows that are not in [first, after)."""
     low, high = np.searchsorted(rows, first), np.searchsorted(rows, after)
     return np.concatenate([rows[: min(low, k)], rows[high : high + k]])[:k]
 
 
-def _probe(ids: np.ndarray, matrix: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, best: Best) -> None:
-    norms = np.sqrt((matrix * matrix).sum(axis=1))
-    ids, matrix, norms = ids[norms > 0], matrix[norms > 0], norms[norms > 0]
-    if not len(ids):
-        return
-    order = np.argsort(ids, kind="stable")
-    ids, matrix, norms = ids[order], matrix[order], norms[order]
-    _, first, group = np.unique(np.ascontiguousarray(matrix).view(f"V{matrix.shape[1] * 8}").ravel(), return_index=True, return_inverse=True)
-    rank = np.argsort(first, kind="stable")  # distinct vectors in row order
-    back = np.empty_like(rank)
-    back[rank] = np.arange(len(rank))
-    members = np.split(np.argsort(back[group], kind="stable"), np.cumsum(np.bincount(back[group]))[:-1])
-    first = first[rank]
-    vectors, lengths = matrix[first], norms[first]
-    graph = Graph((vectors / lengths[:, None]).astype(np.float32))
-    asked = np.sqrt((queries * queries).sum(axis=1))
-    valid = np.flatnonzero(asked > 0)
-    for at in range(0, len(valid), BLOCK):
-        some = valid[at : at + BLOCK]
-        beams = graph.search((queries[some] / asked[some][:, None]).astype(np.float32))
-        for query, beam in zip(some, beams, strict=True):
-            first_own, after_own = np.searchsorted(ids, query_ids[query]), np.searchsorted(ids, query_ids[query], "right")
-            some_of = {x: _others(members[x], first_own, after_own, best.k) for x in beam[beam >= 0].tolist()}
-            nodes = np.array([x for x, rows in some_of.items() if len(rows)], np.int64)
-            if not len(nodes):
-                continue
-            scores = (vectors[nodes] * queries[query]).sum(axis=1) / (lengths[nodes] * asked[query])
-            top = np.argsort(-scores, kind="stable")[: best.k]
-            tied = np.flatnonzero(scores >= scores[top[-1]])
-            rows = [some_of[int(nodes[x])] for x in tied]
-            best.add(query, ids[np.concatenate(rows)], np.repeat(scores[tied], [len(x) for x in rows]))
+class GraphIndex:
+    """A shard: rows in order of id, its distinct vectors, which rows are copies of each, and the graph's layers."""
+
+    def __init__(self, arrays: dict[str, np.ndarray]) -> None:
+        self.ids, self.vectors, self.lengths = arrays["ids"], arrays["vectors"], arrays["lengths"]
+        self.members, self.starts = arrays["members"], arrays["starts"]
+        depth = sum(name.startswith("layer") for name in arrays)
+        self.graph = Graph((self.vectors / self.lengths[:, None]).astype(np.float32), [arrays[f"layer{at}"] for at in range(depth)])
+
+    @staticmethod
+    def build(ids: np.ndarray, matrix: np.ndarray) -> dict[str, np.ndarray] | None:
+        matrix = scaled(matrix)
+        norms = np.sqrt((matrix * matrix).sum(axis=1))
+        ids, matrix, norms = ids[norms > 0], matrix[norms > 0], norms[norms > 0]
+        if not len(ids):
+            return None
+        order = np.argsort(ids, kind="stable")
+        ids, matrix, norms = ids[order], matrix[order], norms[order]
+        _, first, group = np.unique(np.ascontiguousarray(matrix).view(f"V{matrix.shape[1] * 8}").ravel(), return_index=True, return_inverse=True)
+        rank = np.argsort(first, kind="stable")  # distinct vectors in row order
+        back = np.empty_like(rank)
+        back[rank] = np.arange(len(rank))
+        group = back[group]
+        first = first[rank]
+        vectors, lengths = matrix[first], norms[first]
+        layers = Graph.build((vectors / lengths[:, None]).astype(np.float32)).layers
+        starts = np.concatenate([[0], np.cumsum(np.bincount(group))])
+        return {"ids": ids, "vectors": vectors, "lengths": lengths, "members": np.argsort(group, kind="stable"), "starts": starts} | {f"layer{at}": links for at, links in enumerate(layers)}
+
+    def probe(self, query_ids: np.ndarray, queries: np.ndarray, best: Best) -> None:
+        queries = scaled(queries)
+        asked = np.sqrt((queries * queries).sum(axis=1))
+        valid = np.flatnonzero(asked > 0)
+        for at in range(0, len(valid), BLOCK):
+            some = valid[at : at + BLOCK]
+            beams = self.graph.search((queries[some] / asked[some][:, None]).astype(np.float32))
+            for query, beam in zip(some, beams, strict=True):
+                first_own, after_own = np.searchsorted(self.ids, query_ids[query]), np.searchsorted(self.ids, query_ids[query], "right")
+                some_of = {x: _others(self.members[self.starts[x] : self.starts[x + 1]], first_own, after_own, best.k) for x in beam[beam >= 0].tolist()}
+                nodes = np.array([x for x, rows in some_of.items() if len(rows)], np.int64)
+                if not len(nodes):
+                    continue
+                scores = (self.vectors[nodes] * queries[query]).sum(axis=1) / (self.lengths[nodes] * asked[query])
+                top = np.argsort(-scores, kind="stable")[: best.k]
+                tied = np.flatnonzero(scores >= scores[top[-1]])
+                rows = [some_of[int(nodes[x])] for x in tied]
+                best.add(query, self.ids[np.concatenate(rows)], np.repeat(scores[tied], [len(x) for x in rows]))
 
 
 def nearest(table: DataFrame, ids: str, vectors: str, is_query: Column, k: int = 5) -> DataFrame:
@@ -191,4 +234,4 @@ def nearest(table: DataFrame, ids: str, vectors: str, is_query: Column, k: int =
     rows.  Repeated rows are candidates each; rows with the query's id are not.  Ties go to the smaller
     id.  Every row is indexed; other columns of `table` are ignored.
     """
-    return search(table, ids, vectors, is_query, _probe, k, np.float64)
+    return search(table, ids, vectors, is_query, GraphIndex, k, np.float64)

@@ -41,6 +41,18 @@ def _cleaned(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
+@contextlib.contextmanager
+def own_files(spark: SparkSession) -> Iterator[None]:
+    """Reads inside get a task for each file."""
+    key = "spark.sql.files.openCostInBytes"
+    before = spark.conf.get(key, "4194304")
+    spark.conf.set(key, spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     """Writes df as Parquet into the shared folder and reads it back: lineage ends here and lost executors cost nothing."""
     spark = df.sparkSession

@@ -9,14 +9,15 @@ writes the blocks of what is left of the article.
 
 Paragraphs inside an article are never template: passages that pages share and
 copies of whole articles are text.  Outside an article each subtree counts once
-per page content.  Inside it only containers count, by the text of the article
-around them: SALTS min-hashes of its word shingles each have to take many values,
+per page content.  Inside it, and on pages that mark no article, only containers
+count, by the text of the article around them: SALTS min-hashes of its word shingles each have to take many values,
 so near copies of an article, which share most shingles, do not make what they
 share a template.
 """
 
 from __future__ import annotations
 
+import bisect
 import html
 import re
 from collections.abc import Iterator
@@ -27,13 +28,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lamina.llm.common import BROADCAST_ROWS, materialize
+from lamina.llm.common import materialize
 from lamina.llm.urls import host_of
 
 #: A subtree is template if it has at least MANY contexts on its host.
 MANY = 4
 #: Min-hashes of an article's text around a container, and words of a shingle.
 SALTS, WORDS = 8, 3
+#: Templates that may be sent to all tasks (some 100 bytes each).
+MOST_SENT = 300_000
 
 #: Element kinds.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -61,6 +64,8 @@ NAMES = frozenset(
     "commentlist disqus respond reply replies related recommended recommendations popup popups modal overlay widget widgets toolbar pagination pager login search skiplink masthead footer copyright "
     "complementary contentinfo dialog teaser teasers paywall".split()
 )
+#: Words that place or shape a named part.
+PLACES = frozenset("area bar block bottom box button buttons column container content footer form group header icons inline inner item items left link links list outer posts right row section title top wrap wrapper".split())
 PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dd dt figcaption td th".split())
 CONTAINERS = frozenset("div section ul ol dl table details figure header center article address".split())
 
@@ -84,6 +89,8 @@ class Page:
     def _parse(self, source: str) -> None:
         tags, events, stack = self.tags, self.events, []
         self._stack = stack
+        self._open: dict[str, list[int]] = {}  # depths of the open elements of each tag
+        self._blocks: list[int] = []  # depths of the open blocks
         at, size = 0, len(source)
         while at < size:
             found = _token.search(source, at)
@@ -116,59 +123,48 @@ class Page:
                 events.append(~element)
                 at = end
             else:
+                self._open.setdefault(tag, []).append(len(stack))
+                if tag in BLOCK:
+                    self._blocks.append(len(stack))
                 stack.append(element)
-        while stack:
-            events.append(~stack.pop())
+        self._pop(0)
 
     def _pop(self, depth: int) -> None:
         while len(self._stack) > depth:
-            self.events.append(~self._stack.pop())
+            element = self._stack.pop()
+            self._open[self.tags[element]].pop()
+            if self._blocks and self._blocks[-1] == len(self._stack):
+                self._blocks.pop()
+            self.events.append(~element)
 
     def _imply(self, tag: str) -> None:
-        """Ends the elements that a start tag ends."""
-        stack, tags = self._stack, self.tags
-        if tag not in HEAD and tag != "html":
-            for depth, element in enumerate(stack):
-                if tags[element] == "head":
-                    self._pop(depth)
-                    break
+        """Ends the elements that a start tag ends; open elements are found by tag, so deep nesting costs nothing."""
+        stack, tags, open_ = self._stack, self.tags, self._open
+        if tag not in HEAD and tag != "html" and open_.get("head"):
+            self._pop(open_["head"][0])
         if tag in ("article", "main", "body"):  # a menu or the like that nobody closed
-            for depth, element in enumerate(stack):
-                if tags[element] in DROPPED or tags[element] == "header":
-                    self._pop(depth)
-                    break
+            outer = min((at[0] for kind, at in open_.items() if at and (kind in DROPPED or kind == "header")), default=len(stack))
+            self._pop(outer)
         if tag in BLOCK:
-            for depth in range(len(stack) - 1, -1, -1):
-                open_ = tags[stack[depth]]
-                if open_ == "p":
-                    self._pop(depth)
-                    break
-                if open_ in BLOCK:
-                    break
+            if self._blocks and tags[stack[self._blocks[-1]]] == "p":
+                self._pop(self._blocks[-1])
             if tag in HEADINGS and stack and tags[stack[-1]] in HEADINGS:
                 self._pop(len(stack) - 1)
         if tag in CLOSES:
             closed, stops = CLOSES[tag]
-            closed = closed.split()
+            stop = max((open_[kind][-1] for kind in stops if open_.get(kind)), default=-1)
             lowest = len(stack)
-            for depth in range(len(stack) - 1, -1, -1):
-                open_ = tags[stack[depth]]
-                if open_ in stops:
-                    break
-                if open_ in closed:
-                    lowest = depth
+            for kind in closed.split():
+                at = open_.get(kind, [])
+                first = bisect.bisect_right(at, stop)
+                if first < len(at):
+                    lowest = min(lowest, at[first])
             self._pop(lowest)
 
     def _end(self, tag: str) -> None:
-        stack, tags = self._stack, self.tags
-        block = tag in BLOCK
-        for depth in range(len(stack) - 1, -1, -1):
-            open_ = tags[stack[depth]]
-            if open_ == tag:
-                self._pop(depth)
-                return
-            if not block and open_ in BLOCK:
-                return
+        at = self._open.get(tag)
+        if at and (tag in BLOCK or not self._blocks or self._blocks[-1] < at[-1]):
+            self._pop(at[-1])
 
     def attributes(self, element: int) -> dict[str, str]:
         raw = self.raw[element]
@@ -179,7 +175,7 @@ class Page:
 
         Of a large element (most of the text) a third of the words has to say so.  Inside an article an id
         counts as a whole only, as slugs of headings are ids; of headings and paragraphs it never counts, and
-        their classes and roles count as wholes.
+        their classes and roles count as wholes; any other class counts if all its words name or place a part.
         """
         if not self.raw[element].strip(" /\t\r\n"):
             return False
@@ -191,12 +187,13 @@ class Page:
         elif self.tags[element] in PARAGRAPHS or self.tags[element] in HEADINGS:
             words = {w.lower() for key in ("class", "role") for w in own.get(key, "").split()}
         else:
-            words = {w.lower() for key in ("class", "role") for w in _split.split(own.get(key, "")) if w} | ({own["id"].lower()} if own.get("id") else set())
+            parts = [[w.lower() for w in _split.split(token) if w] for key in ("class", "role") for token in own.get(key, "").split()]
+            words = {w for token in parts if all(w in NAMES or w in PLACES for w in token) for w in token} | ({own["id"].lower()} if own.get("id") else set())
         hits = len(words & NAMES)
         return hits > 0 and (not large or 3 * hits >= len(words))
 
     def roots(self) -> list[int]:
-        """The outermost articles that no dropped element holds; else the mains; else none (the whole page counts)."""
+        """The outermost articles that no dropped element holds; else the mains; else none (what is left of the whole page counts)."""
         tags, parents = self.tags, self.parents
         bad = [False] * len(tags)
         inside = {"article": [False] * len(tags), "main": [False] * len(tags)}
@@ -288,7 +285,11 @@ def _around(page: Page, wanted: list[int], inside: np.ndarray) -> dict[int, list
 
 
 def candidates(source: str) -> list[tuple[int, int, int]]:
-    """(subtree hash, salt, context hash) of the elements of a page that may be template; salt 0 outside the article."""
+    """(subtree hash, salt, context hash) of the elements of a page that may be template; salt 0 outside the article.
+
+    On a page without an article the whole page is taken for one: what its containers say is told from the
+    article by the count alone.
+    """
     page = Page(source)
     if not page.tags:
         return []
@@ -297,29 +298,23 @@ def candidates(source: str) -> list[tuple[int, int, int]]:
     inside, holds = np.zeros(len(page.tags), bool), np.zeros(len(page.tags), bool)
     for root in roots:
         inside[root : ends[root]] = True
-        up = page.parents[root]
-        while up >= 0:
+        up = root
+        while up >= 0 and not holds[up]:
             holds[up], up = True, page.parents[up]
-    for root in roots:
-        inside[root] = False
-        holds[root] = True
-    if roots:
-        content = xxhash.xxh3_64_intdigest(b"".join(hashes[root].to_bytes(8, "little") for root in roots))
-    else:
-        content = hashes[0]
+    held = inside.copy()
+    inside[roots] = False
+    if not roots:
+        held[:] = inside[:] = True
+    content = xxhash.xxh3_64_intdigest(b"".join(hashes[root].to_bytes(8, "little") for root in roots))
     rows, within = set(), []
     for element, tag in enumerate(page.tags):
         if holds[element] or not lengths[element] or tag not in BLOCK or tag in ("html", "head", "body", "title"):
             continue
-        if inside[element]:
-            if tag in CONTAINERS:
-                within.append(element)
-        else:
+        if not inside[element]:
             rows.add((_signed(hashes[element]), 0, _signed(content)))
+        elif tag in CONTAINERS:
+            within.append(element)
     if within:
-        held = np.zeros(len(page.tags), bool)
-        for root in roots:
-            held[root : ends[root]] = True
         for element, values in _around(page, within, held).items():
             rows.update((_signed(hashes[element]), salt, _signed(value)) for salt, value in enumerate(values, 1))
     return list(rows)
@@ -328,26 +323,27 @@ def candidates(source: str) -> list[tuple[int, int, int]]:
 def main_text(source: str | None, templates: frozenset[int] | set[int] = frozenset()) -> str:
     """The blocks of the article, two line feeds between them; `templates` are subtree hashes of the page's host.
 
-    Null, empty and text-free pages give an empty text.  Markup that nobody closed ends where its parent does.
+    Null, empty and text-free pages give an empty text, pages without elements their text.  Markup that
+    nobody closed ends where its parent does.
     """
     if not source:
         return ""
     page = Page(source)
     if not page.tags:
-        return " ".join(html.unescape(source).split()) if "<" not in source else ""
-    roots, ends = page.roots(), page.spans()
+        return " ".join(html.unescape("".join(page.events)).split())
+    roots, ends = set(page.roots()), page.spans()
     hashes, lengths = page.hashes()
-    gone, linked = np.zeros(len(page.tags), bool), np.zeros(len(page.tags), np.int64)
+    gone, linked = [False] * len(page.tags), [0] * len(page.tags)
     inside = np.zeros(len(page.tags), bool)
     for root in roots:
         inside[root : ends[root]] = True
+    heads = np.concatenate([[0], np.cumsum([tag in HEADINGS for tag in page.tags])])
     if not roots:
-        for element, tag in enumerate(page.tags):
-            if tag == "a":
-                up = element
-                while up >= 0:
-                    linked[up] += lengths[element]
-                    up = page.parents[up]
+        for element in range(len(page.tags) - 1, -1, -1):
+            if page.tags[element] == "a":
+                linked[element] = lengths[element]
+            if page.parents[element] >= 0:
+                linked[page.parents[element]] += linked[element]
     holder = max(1, sum(lengths[root] for root in roots))
     total = max(1, max(lengths[0], sum(lengths[e] for e, up in enumerate(page.parents) if up < 0)))
     for element, tag in enumerate(page.tags):
@@ -357,15 +353,15 @@ def main_text(source: str | None, templates: frozenset[int] | set[int] = frozens
             continue
         if element in roots or (roots and not inside[element]):
             continue
-        recurs = _signed(hashes[element]) in templates
-        if tag in DROPPED:
+        recurs = tag in CONTAINERS and _signed(hashes[element]) in templates
+        if tag in DROPPED or recurs:
             gone[element] = True
         elif roots:
-            gone[element] = (recurs and tag in CONTAINERS) or page.named(element, lengths[element] > holder / 2, inside=True) or (tag == "header" and not any(page.tags[x] in HEADINGS for x in range(element + 1, ends[element])))
+            gone[element] = page.named(element, lengths[element] > holder / 2, inside=True) or (tag == "header" and heads[ends[element]] == heads[element + 1])
         elif tag not in ("html", "body"):
             most = lengths[element] > total / 2
             menu = tag in CONTAINERS and lengths[element] and linked[element] > 0.6 * lengths[element]
-            gone[element] = recurs or tag == "header" or (not most and (page.named(element) or menu))
+            gone[element] = tag == "header" or (not most and (page.named(element) or menu))
     blocks: list[str] = []
     held: list[str] = []
     kept = 0 if roots else 1
@@ -377,7 +373,6 @@ def main_text(source: str | None, templates: frozenset[int] | set[int] = frozens
                 blocks.append(text)
             held.clear()
 
-    wanted = set(roots)
     stack: list[int] = []
     for event in page.events:
         if isinstance(event, str):
@@ -385,7 +380,7 @@ def main_text(source: str | None, templates: frozenset[int] | set[int] = frozens
                 held.append(html.unescape(event) if "&" in event else event)
         elif event >= 0:
             tag = page.tags[event]
-            kept += event in wanted
+            kept += event in roots
             if kept and tag in BLOCK:
                 flush()
             elif tag in ("br", "wbr", "img", "hr"):
@@ -394,7 +389,7 @@ def main_text(source: str | None, templates: frozenset[int] | set[int] = frozens
         else:
             if kept and page.tags[~event] in BLOCK:
                 flush()
-            kept -= ~event in wanted
+            kept -= ~event in roots
             stack.pop()
     flush()
     return "\n\n".join(blocks)
@@ -421,16 +416,18 @@ def templates_of(pages: DataFrame) -> DataFrame:
     return counts.groupBy("host", "hash").agg(F.count_if(F.col("salt") == 0).alias("out"), F.count_if(F.col("salt") > 0).alias("in")).where(f"out > 0 or in = {SALTS}").select("host", "hash")
 
 
-def extract(pages: DataFrame) -> DataFrame:
+def extract(pages: DataFrame, broadcast_rows: int = MOST_SENT) -> DataFrame:
     """page_id, url, text, n_chars: one row per row of `pages` (page_id, url, html).
 
+    Up to `broadcast_rows` templates are sent to all tasks, more are joined to their pages, with the same result.
+
     text is empty for null, empty or text-free pages, n_chars counts its code points; pages without a host
     share the host "".  Null ids and urls stay null, repeated rows are extracted each, an empty table gives
     no rows.  Pages are read whole.  Other columns are ignored.
     """
     rows = pages.select("page_id", "url", F.col("html").cast("string").alias("html"), host_of(F.col("url").cast("string")).alias("host"))
     templates = materialize(templates_of(rows), "html-templates")
-    few = templates.limit(BROADCAST_ROWS + 1).toArrow() if templates.count() <= BROADCAST_ROWS else None
+    few = templates.toArrow() if templates.count() <= broadcast_rows else None
     if few is not None:
         known: dict[str, set[int]] = {}
         for host, value in zip(few.column(0).to_pylist(), few.column(1).to_pylist(), strict=True):

@@ -15,6 +15,7 @@ id; scoring reads every whole text.
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,13 +24,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lamina.llm.common import fold
+from lamina.llm.common import fold, fresh
 
 #: Orders of the blended spectrum, and hashed n-grams.
 ORDER, SLOTS = 4, 1 << 14
 #: Labelled texts that a fit may use, in all and for each language.
 SAMPLE, SAMPLE_EACH = 4000, 600
 LANDMARKS, RIDGE = 256, 1e-2
+#: Languages that a model may have; a fit fails beyond that.
+MOST_LANGUAGES = 1000
 #: Sharpness of the softmax that turns regression values into a score.
 SHARP = 6.0
 #: Texts scored by one matrix product.
@@ -37,14 +40,14 @@ BLOCK = 64
 UNKNOWN = "und"
 
 _letter = re.compile(r"[^\W\d_]")
-_fold = np.arange(0x250, dtype=np.uint32)
-for _c in range(0x250):
+_fold = np.arange(0x590, dtype=np.uint32)
+for _c in range(len(_fold)):
     _low = chr(_c).lower()
-    _fold[_c] = ord(_low) if len(_low) == 1 and _low.isalpha() else 32 if not chr(_c).isalpha() else _c
+    _fold[_c] = ord(_low) if len(_low) == 1 and _low.isalpha() else _c if chr(_c).isalpha() or unicodedata.combining(chr(_c)) else 32
 
 
 def presence(text: str) -> np.ndarray:
-    """Which hashed n-grams a text has; letters lower-cased, other signs of the Latin blocks as one space."""
+    """Which hashed n-grams a text has; letters lower-cased, other signs of the Latin, Greek, Cyrillic and Armenian blocks as one space."""
     points = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
     low = points < len(_fold)
     points = np.where(low, _fold[np.where(low, points, 0)], points)
@@ -85,13 +88,13 @@ class Model:
 
 
 def solve(spectra: np.ndarray, labels: np.ndarray) -> Model:
-    """Nystroem kernel ridge regression, one against the rest; landmarks are the first rows of each language in turn."""
+    """Nystroem kernel ridge regression, one against the rest; landmarks are the first rows of each language in turn, one each at least."""
     languages = sorted(set(labels.tolist()))
     rank = np.zeros(len(labels), np.int64)
     for language in languages:
         own = np.flatnonzero(labels == language)
         rank[own] = np.arange(len(own))
-    chosen = np.lexsort((labels, rank))[:LANDMARKS]
+    chosen = np.lexsort((labels, rank))[: max(LANDMARKS, len(languages))]
     unit = spectra.astype(np.float32)
     unit /= np.sqrt(np.maximum(unit.sum(axis=1, keepdims=True), 1))
     landmarks = unit[chosen]
@@ -105,10 +108,13 @@ def fit(docs: DataFrame, learn: Column) -> Model:
     """Fits on rows of `docs` where `learn` holds and text and lang are not null: at most SAMPLE_EACH a language.
 
     Rows are kept by a hash of doc_id against a rate from the language's count, so that the sample is
-    the same for any partitioning.  Without any such row every text is `und`.
+    the same for any partitioning.  Without any such row every text is `und`; with over MOST_LANGUAGES
+    values of lang the fit fails, as no language is left out.
     """
     rows = docs.select(F.col("text"), F.col("lang").alias("label"), F.xxhash64("doc_id", "text").alias("key")).where(learn & F.col("label").isNotNull() & F.col("text").isNotNull())
-    counts = rows.groupBy("label").count().orderBy(F.desc("count"), "label").limit(SAMPLE // 4).collect()
+    counts = rows.groupBy("label").count().limit(MOST_LANGUAGES + 1).collect()
+    if len(counts) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages to learn")
     if not counts:
         return Model([], np.zeros((SLOTS, 0), np.float32))
     each = min(SAMPLE_EACH, max(4, SAMPLE // len(counts)))
@@ -161,9 +167,11 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, least: float = 0.35) -> DataFrame:
-    """The rows of `docs`, unchanged, whose text has a language that scores at least `least`."""
-    from lamina.llm.common import fresh
+    """The rows of `docs`, unchanged, whose text has a language that scores at least `least`.
 
+    Null texts and texts without letters go; null ids and langs are kept by their text; repeated rows are kept or
+    go together; without a learned language nothing is kept; an empty table gives no rows.
+    """
     name = fresh(docs, "lang")
     judged = docs.withColumn(name, predict(docs, fit(docs, learn_fold())))
     return judged.where((F.col(name)["lang"] != UNKNOWN) & (F.col(name)["score"] >= least)).drop(name)

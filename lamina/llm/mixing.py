@@ -12,7 +12,8 @@ brings the source nearest to its target.
 
 No source is ever brought into one task: words are summed per source and rank
 bucket, a window over at most BUCKETS sums finds the bucket that the cut falls
-into, and only the rows of this bucket are put in order.
+into, the same is done once more inside this bucket, and only the rows of the
+part that the cut falls into, one of BUCKETS^2, are put in order.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lamina.llm.common import materialize, small_side
+from lamina.llm.common import fresh, materialize, small_side
 
 #: A word; the weights of the sources in code point order, repeating.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -73,6 +74,13 @@ def uniform() -> Column:
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("long").cast("double") / F.lit(float(1 << 52))
 
 
+def _cut(sums: DataFrame, place: str, name: str) -> DataFrame:
+    """key, `name`, below: where each source's running words first reach its rest, and the words before; `sums` has key, rest, below, place, in_bucket."""
+    before = Window.partitionBy("key").orderBy(place).rowsBetween(Window.unboundedPreceding, -1)
+    running = sums.withColumn("below", F.col("below") + F.coalesce(F.sum("in_bucket").over(before), F.lit(0))).where("below < rest")
+    return running.groupBy("key").agg(F.max(place).alias(name), F.max("below").alias("below"))
+
+
 def decide(drawn: DataFrame) -> DataFrame:
     """The units with source_size, target and copies (0, 1, ...) of each of their rows."""
     goal = targets(drawn).drop("source")
@@ -93,22 +101,19 @@ def decide(drawn: DataFrame) -> DataFrame:
         .withColumn("words", F.col("size") * F.col("rows"))
     )
     sums = ranked.where("x is not null").groupBy("key", "rest", "bucket").agg(F.sum("words").alias("in_bucket"))
-    before = Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    cut = (
-        sums.withColumn("below", F.coalesce(F.sum("in_bucket").over(before), F.lit(0)))
-        .where("below < rest")
-        .groupBy("key")
-        .agg(F.max("bucket").alias("cut"), F.max("below").alias("below"))
-    )
-    placed = ranked.join(small_side(materialize(cut, "mix-cut")), "key", "left")
-    at_cut = Window.partitionBy("key", "bucket").orderBy("x", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    cut = materialize(_cut(sums.withColumn("below", F.lit(0).cast("long")), "bucket", "cut"), "mix-cut")
+    placed = ranked.join(small_side(cut), "key", "left").withColumn("part", F.when(F.col("bucket") == F.col("cut"), F.least(F.floor((F.col("x") * BUCKETS - F.col("bucket")) * BUCKETS), F.lit(BUCKETS - 1)).cast("int")))
+    parts = placed.where("part is not null").groupBy("key", "rest", "below", "part").agg(F.sum("words").alias("in_bucket"))
+    fine = materialize(_cut(parts, "part", "part_cut"), "mix-part")
+    placed = placed.drop("below").join(small_side(fine), "key", "left")
+    at_cut = Window.partitionBy("key", "bucket", "part").orderBy("x", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
     edge = (
-        placed.where("bucket = cut")
+        placed.where("part = part_cut")
         .withColumn("reach", F.col("below") + F.sum("words").over(at_cut))
         .withColumn("picked", (F.col("reach") <= F.col("rest")) | ((F.col("reach") - F.col("words") < F.col("rest")) & (F.col("reach") - F.col("rest") < F.col("rest") - (F.col("reach") - F.col("words")))))
         .drop("reach")
     )
-    others = placed.where("not coalesce(bucket = cut, false)").withColumn("picked", F.coalesce(F.col("bucket") < F.col("cut"), F.lit(False)))
+    others = placed.where("not coalesce(part = part_cut, false)").withColumn("picked", F.coalesce((F.col("bucket") < F.col("cut")) | (F.col("part") < F.col("part_cut")), F.lit(False)))
     chosen = materialize(others.unionByName(edge).select("key", "doc_id", "source", "size", "rows", "words", "x", "source_size", "target", "whole", "rest", "picked"), "mix-draw")
     off = chosen.groupBy("key", "rest").agg(F.sum(F.when(F.col("picked"), F.col("words")).otherwise(0)).alias("got")).select("key", (F.col("rest") - F.col("got")).alias("off"))
     change = F.when(F.col("picked"), -F.col("words")).otherwise(F.col("words"))
@@ -143,13 +148,16 @@ def mix_sources(docs: DataFrame) -> DataFrame:
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The rows of `docs` as often as the mix takes them, with the columns of `docs`.
 
-    Documents without words are never drawn; they stay as often as their source is taken whole.
+    Null and empty texts and texts without words are never drawn; they stay as often as their source is taken
+    whole.  A null source is a source of its own; rows that agree in id, source and size (repeated rows, null
+    ids) are taken together; an empty table gives no rows.
     """
+    own_id, own_source, own_size, own_copies, own_copy = (fresh(docs, f"mix_{stem}") for stem in ("id", "source", "size", "copies", "copy"))
     decided = decide(materialize(units(docs), "mix-units")).where("copies > 0").select(
-        F.col("doc_id").alias("__mix_id"), F.col("source").alias("__mix_source"), F.col("size").alias("__mix_size"), F.col("copies").alias("__mix_copies")
+        F.col("doc_id").alias(own_id), F.col("source").alias(own_source), F.col("size").alias(own_size), F.col("copies").alias(own_copies)
     )
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__mix_id")) & F.col("source").cast("string").eqNullSafe(F.col("__mix_source")) & (words(F.col("text")) == F.col("__mix_size"))
-    return docs.join(decided, same).withColumn("__mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__mix_copies")))).select(*(F.col(f"`{c}`") for c in docs.columns))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(own_id)) & F.col("source").cast("string").eqNullSafe(F.col(own_source)) & (words(F.col("text")) == F.col(own_size))
+    return docs.join(decided, same).withColumn(own_copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(own_copies)))).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 #: The same rows by one window per source, for DuckDB.

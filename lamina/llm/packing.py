@@ -2,13 +2,15 @@
 
 A task's documents, in their order, form one stream of ids.  Windows are cut
 from it at points with a price: nothing at a document's end, a little at a
-sentence's end, more at a word's end (only where sentences are far apart).  The
+sentence's end, more at grid points between ids (only where sentences are far
+apart).  The
 cost of a window is its padding plus the price of its last cut; padding is what
 is missing to WINDOW, or nothing if the length is a power of two.  For a cut at
 position p the best earlier cut minimises cost(q) + q over p - WINDOW <= q < p,
 which a monotone queue yields in constant amortised time; the power-of-two
 lengths are looked up beside it.  The stream is solved in stretches of bounded
-length, and a stretch's last window carries over into the next one.
+length, each at least cost by itself, and a stretch's last window carries over
+into the next one.
 """
 
 from __future__ import annotations
@@ -30,8 +32,6 @@ WINDOW = 4096
 END = 2
 #: Prices of a cut inside a document, in tokens of padding: at a sentence's end, and elsewhere.
 SENTENCE, INSIDE = 8, 256
-#: Padding from which a window's other lengths, the powers of two, are looked up.
-SLACK = 64
 #: Ids of a stretch that is solved at once; distance of the priced cuts inside long sentences.
 STRETCH, GRID = 1 << 19, 512
 #: Words whose ids a worker remembers.
@@ -137,11 +137,10 @@ def windows(where: np.ndarray, price: np.ndarray, size: int = WINDOW) -> list[in
             queue.popleft()
         j = queue[0]
         best, origin = cost[j] + size - (p - at[j]), j
-        if best - cost[j] > SLACK:
-            for length in powers:
-                q = place.get(p - length)
-                if q is not None and cost[q] < best:
-                    best, origin = cost[q], q
+        for length in powers:
+            q = place.get(p - length)
+            if q is not None and cost[q] < best:
+                best, origin = cost[q], q
         cost[i], back[i] = best + int(price[i]), origin
         value = cost[i] + p
         while queue and cost[queue[-1]] + at[queue[-1]] >= value:

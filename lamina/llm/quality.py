@@ -208,6 +208,10 @@ def rate_quality(docs: DataFrame, ratings: DataFrame, level: int = 1) -> DataFra
 
 
 def keep_good(docs: DataFrame, ratings: DataFrame, level: int = 1) -> DataFrame:
-    """The rows of `docs`, unchanged, whose tail probability is at least 0.5."""
+    """The rows of `docs`, unchanged, whose tail probability is at least 0.5.
+
+    Null and empty texts are graded as texts without words; repeated rows are kept or go together; without ratings
+    every text has grade 0; an empty table gives no rows.
+    """
     name = fresh(docs, "grade")
     return docs.withColumn(name, graded(docs, fit(docs, ratings), level)).where(F.col(name)["tail"] >= 0.5).drop(name)

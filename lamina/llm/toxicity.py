@@ -342,6 +342,10 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_harmless(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of `docs`, unchanged, that score below 0.5."""
+    """The rows of `docs`, unchanged, that score below 0.5.
+
+    Null and empty texts are kept; repeated rows are kept or go together; without labels of both kinds all rows
+    are kept; an empty table gives no rows.
+    """
     name = fresh(docs, "toxic")
     return docs.withColumn(name, toxic_score(docs, fit(docs, labels))).where(F.col(name) < 0.5).drop(name)

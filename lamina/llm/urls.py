@@ -6,7 +6,10 @@ looks alone.  Statistics of host suffixes (how many labelled URLs end in them,
 how many are blocked) are counted over all labelled URLs in hashed slots of a
 fixed number.  Gradient-boosted regression trees with logistic loss learn from
 a bounded sample of the labelled URLs, chosen by hash, whose suffix statistics
-come from the other folds of the labelled URLs.
+come from the other folds of the labelled URLs.  Models fitted on all folds but
+one score the fold left out, and the cut between allow and block is where, on
+these scores, most more bad than good URLs are blocked, beyond chance; where
+looks tell nothing, no cut does so and nothing is blocked.
 
 The labelled URLs of the tables here are those whose path names a labelled
 document: such a URL is to be blocked if its document is of low quality or
@@ -39,6 +42,8 @@ RULES = (
 #: Slots of the suffix statistics; labelled URLs that the trees may learn from.
 SLOTS, SAMPLE, FOLDS = 1 << 15, 20_000, 5
 TREES, DEPTH, BINS, RATE, LEAF, L2 = 40, 3, 32, 0.1, 30, 5.0
+#: Standard errors by which a cut has to block more bad than good URLs.
+SURE = 3.0
 #: Weight of the overall rate in a suffix's rate.
 PRIOR = 20.0
 
@@ -122,7 +127,12 @@ def boost(x: np.ndarray, y: np.ndarray) -> Trees:
     """Second-order gradient boosting with logistic loss over histograms of quantile bins."""
     inner, leaves = 2**DEPTH - 1, 2**DEPTH
     base = float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1)))
-    edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, BINS + 1)[1:-1])) for j in range(x.shape[1])]
+    edges = []  # halfway between neighbouring values, at quantiles
+    for column in x.T:
+        values = np.unique(column)
+        at = np.searchsorted(values, np.unique(np.quantile(column, np.linspace(0, 1, BINS + 1)[1:-1], method="lower")))
+        at = at[at + 1 < len(values)]
+        edges.append((values[at] + values[at + 1]) / 2)
     binned = np.stack([np.searchsorted(edges[j], x[:, j], "left") for j in range(x.shape[1])], axis=1)
     margin = np.full(len(y), base)
     trees = []
@@ -158,9 +168,32 @@ def boost(x: np.ndarray, y: np.ndarray) -> Trees:
 
 @dataclass(frozen=True)
 class Model:
+    """The trees under the suffix statistics; cut and gain (bad less good URLs blocked, a share of all) and area under the curve are out of fold."""
+
     trees: Trees | None
     blocked: np.ndarray
     seen: np.ndarray
+    cut: float = 0.5
+    gain: float = 0.0
+    area: float = 0.5
+
+
+def best_cut(score: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
+    """(cut, gain, area): URLs that score at least `cut`, halfway between neighbouring scores, are blocked; inf if no cut surely blocks more bad than good ones."""
+    order = np.argsort(-score, kind="stable")
+    ranked = y[order] > 0
+    worth = np.cumsum(np.where(ranked, 1, -1))
+    last = np.flatnonzero(np.append(np.diff(score[order]) != 0, True))  # equal scores are cut together
+    best = last[worth[last].argmax()]
+    places = np.empty(len(y))
+    _, first, count = np.unique(score, return_index=True, return_counts=True)
+    places[np.argsort(score, kind="stable")] = np.repeat(np.cumsum(count) - (count - 1) / 2, count)
+    bad = int(ranked.sum())
+    area = (places[y > 0].sum() - bad * (bad + 1) / 2) / (bad * (len(y) - bad))
+    if worth[best] < SURE * (best + 1) ** 0.5:
+        return float("inf"), 0.0, float(area)
+    below = score[order][min(best + 1, len(y) - 1)]
+    return float(score[order][best] + below) / 2, float(worth[best]) / len(y), float(area)
 
 
 def fold_of(url: str) -> int:
@@ -209,8 +242,15 @@ def fit(known: DataFrame) -> Model:
         return Model(None, blocked, seen)
     order = sorted(range(len(rows)), key=lambda at: (rows[at]["url"] or "", rows[at]["label"]))
     folds = [(blocked - by_fold[1, f], seen - by_fold[0, f]) for f in range(FOLDS)]
-    x = np.array([features(rows[at]["url"], rows[at]["host"], rows[at]["path"], *folds[fold_of(rows[at]["url"])]) for at in order], float)
-    return Model(boost(x, y[order]), blocked, seen)
+    own = np.array([fold_of(rows[at]["url"]) for at in order])
+    x = np.array([features(rows[at]["url"], rows[at]["host"], rows[at]["path"], *folds[f]) for at, f in zip(order, own, strict=True)], float)
+    y = y[order]
+    out_of_fold = np.full(len(y), y.mean())
+    for f in range(FOLDS):
+        rest = own != f
+        if (~rest).any() and 0 < y[rest].sum() < rest.sum():
+            out_of_fold[~rest] = 1 / (1 + np.exp(-boost(x[rest], y[rest]).margin(x[~rest])))
+    return Model(boost(x, y), blocked, seen, *best_cut(out_of_fold, y))
 
 
 def judge(pages: DataFrame, known: DataFrame) -> DataFrame:
@@ -223,7 +263,8 @@ def judge(pages: DataFrame, known: DataFrame) -> DataFrame:
     url = F.col("url").cast("string")
     split = pages.select(F.col("page_id").cast("long").alias("page_id"), url.alias("url")).select("page_id", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     ruled = split.withColumn("r", rule_of(F.col("host"), F.col("path"))).select("page_id", "url", "host", "path", F.col("r.rule").alias("rule"), F.col("r.verdict").alias("rule_verdict"))
-    model = pages.sparkSession.sparkContext.broadcast(fit(known))
+    fitted = fit(known)
+    model = pages.sparkSession.sparkContext.broadcast(fitted)
 
     @F.arrow_udf("double")
     def score(urls: pa.Array, hosts: pa.Array, paths: pa.Array) -> pa.Array:
@@ -236,5 +277,5 @@ def judge(pages: DataFrame, known: DataFrame) -> DataFrame:
         return pa.array(1 / (1 + np.exp(-own.trees.margin(x))))
 
     scored = ruled.withColumn("score", score("url", "host", "path"))
-    verdict = F.coalesce("rule_verdict", F.when(F.col("score") >= 0.5, "block").otherwise("allow"))
+    verdict = F.coalesce("rule_verdict", F.when(F.col("score") >= F.lit(fitted.cut), "block").otherwise("allow"))
     return scored.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "score")
