@@ -171,6 +171,17 @@ def audit_group_hashes(groups: DataFrame, bindings: DataFrame, chunk: DataFrame)
     return _bad(rows.withColumn("kind", F.when(~F.col("hash").eqNullSafe(F.col("want")), "bad_layout")), "id")
 
 
+def audit_stored(objects: DataFrame, store: DataFrame) -> DataFrame:
+    """missing, mismatched (size) and corrupted (hash), the first of them, of objects (id, hash, raw_size) against a store (hash, data).
+
+    `store` names each file by the hash it was stored under; `data` is its content as read.
+    """
+    read = store.select("hash", F.octet_length(F.col("data").cast("binary")).alias("bytes"), F.md5(F.col("data").cast("binary")).alias("found"))
+    rows = objects.join(read, "hash", "left")
+    kind = first_of((F.col("found").isNull(), "missing"), (F.col("bytes") != F.col("raw_size"), "mismatched"), (F.col("found") != F.col("hash"), "corrupted"))
+    return _bad(rows.withColumn("kind", kind), "id")
+
+
 def audit_backups(backup: DataFrame, fileset: DataFrame) -> DataFrame:
     """missing_base, base_not_base, missing_delta, delta_of_other_base, bad_file_count and bad_sizes, the first of them."""
     s = fileset.select("id", "base_id", "file_count", "file_raw_size_sum", "file_stored_size_sum")

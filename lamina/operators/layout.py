@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -31,9 +34,13 @@ def overlaps(chunk: DataFrame, pack: DataFrame) -> DataFrame:
     return sized.select("id", F.when(F.col("before") > F.col("pack_offset"), "overlap").when(F.col("end") > F.col("pack_size"), "beyond").alias("kind")).where("kind is not null")
 
 
+#: Fixed value: what a pack's name is derived from, ahead of its id.
+NAME = "PBPK_"
+
+
 def pack_name(pack_id: Column) -> Column:
     """File name of a pack: derived from its id, so that names never repeat."""
-    return F.sha2(F.concat(F.lit("PBPK_"), pack_id.cast("string")), 256)
+    return F.sha2(F.concat(F.lit(NAME), pack_id.cast("string")), 256)
 
 
 def compactable(pack: DataFrame, threshold: float) -> DataFrame:
@@ -45,15 +52,51 @@ def compactable(pack: DataFrame, threshold: float) -> DataFrame:
     return pack.where(empty | sparse)
 
 
-def compaction(chunk: DataFrame, packs: DataFrame, largest: int = 16 << 20) -> DataFrame:
-    """chunk id, new_pack, new_offset: live entries of the packs, in order, laid into new packs of `largest` bytes.
+#: Bytes and entries from which a pack takes no more, and bytes from which an entry has a pack of its own.
+PACK_BYTES, PACK_ENTRIES, OWN_PACK = 16 << 20, 4096, 8 << 20
 
-    An entry goes to the pack that its running offset falls into; offsets start anew in each.
+
+def pack_entries(rows: DataFrame, by: list[str], largest: int = PACK_BYTES, most: int = PACK_ENTRIES, own: int = OWN_PACK) -> DataFrame:
+    """writer, id, new_pack, new_offset of entries `rows` (writer, id, stored_size and the columns of `by`).
+
+    Each writer takes its entries in the order of `by`.  Before an entry it opens a new pack if the present one
+    has reached `largest` bytes or `most` entries; an entry of at least `own` bytes gets a pack of its own, and
+    the present one stays open.  Packs of a writer are numbered from 1 as they are opened.  A writer is one
+    pass over sorted rows that keeps four numbers; deal large tables to many writers.
     """
-    live = chunk.join(packs.select(F.col("id").alias("pack_id")), "pack_id", "left_semi")
-    whole = live.groupBy("pack_id").agg(F.sum("stored_size").alias("bytes"))
-    starts = whole.withColumn("start", expected_offset("bytes", [], ["pack_id"])).select("pack_id", "start")
-    placed = live.join(starts, "pack_id").withColumn("at", F.col("start") + expected_offset("stored_size", ["pack_id"], ["pack_offset", "id"]))
-    numbered = placed.withColumn("new_pack", F.floor(F.col("at") / largest).cast("long") + 1)
-    first = numbered.groupBy("new_pack").agg(F.min("at").alias("first"))
-    return numbered.join(first, "new_pack").select("id", "new_pack", (F.col("at") - F.col("first")).cast("long").alias("new_offset"))
+
+    def laid(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        present, opened, number, size, entries = None, 0, 0, 0, 0
+        for part in parts:
+            packs, offsets = [], []
+            for writer, bytes_ in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), strict=True):
+                if writer != present:
+                    present, opened, number, size, entries = writer, 0, 0, 0, 0
+                if bytes_ >= own:
+                    opened += 1
+                    packs.append(opened)
+                    offsets.append(0)
+                    continue
+                if not number or size >= largest or entries >= most:
+                    opened += 1
+                    number, size, entries = opened, 0, 0
+                packs.append(number)
+                offsets.append(size)
+                size, entries = size + bytes_, entries + 1
+            yield pa.RecordBatch.from_pydict({"writer": part.column(0), "id": part.column(1), "new_pack": pa.array(packs, pa.int64()), "new_offset": pa.array(offsets, pa.int64())})
+
+    dealt = rows.repartition("writer").sortWithinPartitions("writer", *by)
+    return dealt.select(F.col("writer").cast("long"), F.col("id").cast("long"), F.col("stored_size").cast("long")).mapInArrow(laid, "writer long, id long, new_pack long, new_offset long")
+
+
+def compaction(chunk: DataFrame, packs: DataFrame, writers: int = 1, largest: int = PACK_BYTES, most: int = PACK_ENTRIES, own: int = OWN_PACK) -> DataFrame:
+    """writer, id, new_pack, new_offset: live entries of the packs, in the order of packs and offsets, laid into new packs."""
+    live = chunk.join(packs.select(F.col("id").alias("pack_id")), "pack_id", "left_semi").withColumn("writer", F.pmod("pack_id", F.lit(writers)))
+    return pack_entries(live.select("writer", "id", "stored_size", "pack_id", "pack_offset"), ["pack_id", "pack_offset", "id"], largest, most, own)
+
+
+def read_entries(entries: DataFrame, packs: DataFrame) -> DataFrame:
+    """id, data of entries (id, pack_id, pack_offset, stored_size) from packs (pack_id, data); null if the pack is missing or too short."""
+    rows = entries.join(packs.select("pack_id", F.col("data").cast("binary").alias("data")), "pack_id", "left")
+    whole = F.col("pack_offset") + F.col("stored_size") <= F.octet_length("data")
+    return rows.select("id", F.when(whole, F.substr("data", (F.col("pack_offset") + 1).cast("int"), F.col("stored_size").cast("int"))).alias("data"))

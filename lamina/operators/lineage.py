@@ -34,16 +34,30 @@ def fileset_backups(backup: DataFrame) -> DataFrame:
     return backup.select(F.col("fileset_id_base").alias("fileset_id"), F.col("id").alias("backup_id")).union(backup.select("fileset_id_delta", "id")).distinct()
 
 
-def containing_file(files: DataFrame, file: DataFrame, backup: DataFrame) -> DataFrame:
-    """fileset_id, path, backup_id: snapshots that show a file of a fileset.
+def containing_pairs(files: DataFrame, file: DataFrame, backup: DataFrame) -> DataFrame:
+    """fileset_id, path, base, delta: the views (base, delta) of snapshots that show a file of a fileset.
 
-    A base's file shows unless the snapshot's delta has a role for its path; a delta's shows in its own.
+    A base's file shows unless the delta has a role for its path; a delta's shows in its own.  Snapshots that
+    share a view are settled once.
     """
-    own = backup.select(F.col("id").alias("backup_id"), "fileset_id_base", "fileset_id_delta")
-    covers = file.where(F.col("role").isin(ROLE_OVERRIDE, ROLE_ADD, ROLE_REMOVE)).select(F.col("fileset_id").alias("fileset_id_delta"), "path")
-    base = files.join(own, F.col("fileset_id") == F.col("fileset_id_base")).join(covers, ["fileset_id_delta", "path"], "left_anti")
-    delta = files.join(own, F.col("fileset_id") == F.col("fileset_id_delta"))
-    return base.select("fileset_id", "path", "backup_id").union(delta.select("fileset_id", "path", "backup_id")).distinct()
+    pairs = backup.select(F.col("fileset_id_base").alias("base"), F.col("fileset_id_delta").alias("delta")).distinct()
+    covers = file.where(F.col("role").isin(ROLE_OVERRIDE, ROLE_ADD, ROLE_REMOVE)).select(F.col("fileset_id").alias("delta"), "path")
+    base = files.join(pairs, F.col("fileset_id") == F.col("base")).join(covers, ["delta", "path"], "left_anti")
+    own = files.join(pairs, F.col("fileset_id") == F.col("delta"))
+    columns = ("fileset_id", "path", "base", "delta")
+    return base.select(*columns).union(own.select(*columns)).distinct()
+
+
+def containing_file(files: DataFrame, file: DataFrame, backup: DataFrame) -> DataFrame:
+    """fileset_id, path, backup_id: snapshots that show a file of a fileset."""
+    own = backup.select(F.col("id").alias("backup_id"), F.col("fileset_id_base").alias("base"), F.col("fileset_id_delta").alias("delta"))
+    return containing_pairs(files, file, backup).join(own, ["base", "delta"]).select("fileset_id", "path", "backup_id")
+
+
+def containing_counts(files: DataFrame, file: DataFrame, backup: DataFrame) -> DataFrame:
+    """fileset_id, path, backups, first: how many snapshots show a file, and the smallest id; no row per snapshot is made."""
+    views = backup.groupBy(F.col("fileset_id_base").alias("base"), F.col("fileset_id_delta").alias("delta")).agg(F.count("*").alias("n"), F.min("id").alias("least"))
+    return containing_pairs(files, file, backup).join(views, ["base", "delta"]).groupBy("fileset_id", "path").agg(F.sum("n").alias("backups"), F.min("least").alias("first"))
 
 
 def affected(chunks: DataFrame, chunk_bindings: DataFrame, blob_bindings: DataFrame, file: DataFrame, backup: DataFrame) -> DataFrame:

@@ -32,11 +32,25 @@ def delete(table: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
     return table.join(keys, on, "left_anti")
 
 
+def numbered(rows: DataFrame, by: list, name: str) -> DataFrame:
+    """The rows with their place, from 1, in a total order; no task holds more than a range of the order.
+
+    Rows are dealt into sorted ranges, which are kept; a row's place is that within its range plus the sizes
+    of the ranges before, one number a range.
+    """
+    at, part = "__at", "__part"
+    ranges = rows.repartitionByRange(*by).sortWithinPartitions(*by).persist().withColumn(at, F.monotonically_increasing_id()).withColumn(part, F.shiftright(at, 33))
+    sizes = ranges.groupBy(part).agg(F.count("*").alias("__size"))
+    before = sizes.select(part, F.coalesce(F.sum("__size").over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    place = F.col("__before") + F.col(at).bitwiseAND((1 << 33) - 1) + 1
+    return ranges.join(F.broadcast(before), part).select(*rows.columns, place.cast("long").alias(name))
+
+
 def assign_ids(existing: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """key, id for new distinct keys: the next ids in order of the key."""
     top = existing.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
     fresh = new.select(key).distinct().join(existing.select(key), key, "left_anti")
-    return fresh.join(F.broadcast(top), how="cross").select(key, (F.col("top") + F.row_number().over(Window.orderBy(key))).cast("long").alias("id"))
+    return numbered(fresh, [key], "place").join(F.broadcast(top), how="cross").select(key, (F.col("top") + F.col("place")).cast("long").alias("id"))
 
 
 def first_of_each(table: DataFrame, key: list[str], by: list[str]) -> DataFrame:
@@ -46,11 +60,17 @@ def first_of_each(table: DataFrame, key: list[str], by: list[str]) -> DataFrame:
 
 def keep_last(table: DataFrame, most: int, by: list) -> DataFrame:
     """What a limit of `most` newest entries drops."""
-    return table.withColumn("__n", F.row_number().over(Window.orderBy(*by))).where(F.col("__n") > most).drop("__n")
+    return numbered(table, by, "__n").where(F.col("__n") > most).drop("__n")
 
 
 def reassign(backup: DataFrame, by: str) -> DataFrame:
     """id, new_id: snapshots renumbered from 1 in a total order."""
     from lamina.operators.predicates import order
 
-    return backup.select("id", F.row_number().over(Window.orderBy(*order(by))).cast("long").alias("new_id"))
+    return numbered(backup, order(by), "new_id").select("id", "new_id")
+
+
+def ends(rows: DataFrame, by: list, most: int = 5) -> DataFrame:
+    """What a report shows of a long list: the first and the last `most` rows in a total order, with their place and the total."""
+    total = rows.agg(F.count("*").alias("total"))
+    return numbered(rows, by, "place").join(F.broadcast(total), how="cross").where((F.col("place") <= most) | (F.col("place") > F.col("total") - most))

@@ -48,8 +48,16 @@ def resolve_prefix(table: DataFrame, column: str, prefix: str) -> str:
 
 
 def tag(tags: Column, name: str) -> Column:
-    """A tag's value as text; null if it is missing or JSON null."""
-    return F.get_json_object(tags, f"$.{name}")
+    """A tag's value as text; null if it is missing or JSON null.  Names may hold any sign but a quote."""
+    return F.get_json_object(tags, f"$['{name}']")
+
+
+def typed_tag(tags: Column, name: str, kind: str) -> Column:
+    """A tag's value as boolean, string, double or bigint; null if it is missing or of another JSON type."""
+    value = F.try_variant_get(F.try_parse_json(tags), f'$["{name}"]', "variant")
+    is_kind = {"boolean": ("BOOLEAN",), "string": ("STRING",), "double": ("DOUBLE", "DECIMAL", "BIGINT"), "bigint": ("BIGINT",)}[kind]
+    fits = F.exists(F.array(*map(F.lit, is_kind)), lambda k: F.schema_of_variant(value).startswith(k))
+    return F.when(fits, F.try_variant_get(value, "$", kind))
 
 
 def tag_equals(tags: Column, name: str, value: str) -> Column:
@@ -133,7 +141,11 @@ def path_key(path: Column) -> Column:
 
 
 def glob_regex(pattern: str) -> str:
-    """A gitignore pattern as a regular expression over whole relative paths."""
+    """A gitignore pattern as a regular expression over whole relative paths.
+
+    One that ends in a slash matches a folder: what is below it, and the folder itself where folders are given
+    with a slash at their end (see `rule_match`).
+    """
     body = pattern.rstrip("/")
     anchored = "/" in body
     body = body.lstrip("/")
@@ -153,11 +165,13 @@ def glob_regex(pattern: str) -> str:
             out, at = out + "[" + ("^" + inner[1:] if inner[0] == "!" else inner) + "]", end + 1
         else:
             out, at = out + re.escape(body[at]), at + 1
-    return ("^" if anchored else "^(?:.*/)?") + out + "(?:/.*)?$"
+    return ("^" if anchored else "^(?:.*/)?") + out + ("/.*$" if pattern.endswith("/") else "(?:/.*)?$")
 
 
-def rule_match(path: Column, patterns: list[str]) -> Column:
-    """Whether a path is matched: the last pattern that fits decides, "!" takes back."""
+def rule_match(path: Column, patterns: list[str], folder: Column | None = None) -> Column:
+    """Whether a path is matched: the last pattern that fits decides, "!" takes back; `folder` says which paths are folders."""
+    if folder is not None:
+        path = F.when(folder, F.concat(path, F.lit("/"))).otherwise(path)
     found = F.lit(False)
     for pattern in patterns:
         takes_back = pattern.startswith("!")

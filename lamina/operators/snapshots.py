@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from lamina.operators.lookups import numbered
 from lamina.schema import ROLE_ADD, ROLE_OVERRIDE, ROLE_REMOVE
 
 COVERS = (ROLE_OVERRIDE, ROLE_ADD, ROLE_REMOVE)
@@ -147,6 +147,35 @@ def delete_cascade(backup: DataFrame, doomed: DataFrame, fileset: DataFrame, fil
     return filesets.select(F.lit("fileset").alias("kind"), F.col("id").cast("long").alias("id")).union(blobs.select(F.lit("blob"), F.col("id").cast("long")))
 
 
+def delete_below(gone: DataFrame, blob_bindings: DataFrame, groups: DataFrame, chunk_bindings: DataFrame, chunk: DataFrame, pack: DataFrame) -> DataFrame:
+    """kind, id of what goes with the blobs `gone` (id): groups that no blob is left to hold, their chunks, and packs without live entries."""
+    held = blob_bindings.join(gone.select(F.col("id").alias("blob_id")), "blob_id", "left_anti").select(F.col("chunk_group_id").alias("id")).distinct()
+    lost = groups.select("id").join(held, "id", "left_anti")
+    bound = chunk_bindings.join(lost.select(F.col("id").alias("chunk_group_id")), "chunk_group_id", "left_anti").select(F.col("chunk_id").alias("id")).distinct()
+    chunks = chunk.select("id", "pack_id").join(bound, "id", "left_anti")
+    live = chunk.join(chunks.select("id"), "id", "left_anti").select(F.col("pack_id").alias("id")).distinct()
+    packs = pack.select("id").join(live, "id", "left_anti")
+    parts = [found.select(F.lit(kind).alias("kind"), F.col("id").cast("long").alias("id")) for kind, found in (("chunk_group", lost), ("chunk", chunks), ("pack", packs))]
+    return parts[0].union(parts[1]).union(parts[2])
+
+
+def finalize_files(file: DataFrame, blob: DataFrame) -> DataFrame:
+    """The files with the ids of their blobs by hash; a file whose blob is missing fails the query when it runs."""
+    ids = blob.select(F.col("hash").alias("blob_hash"), F.col("id").alias("__id"))
+    rows = file.drop("blob_id").join(ids, "blob_hash", "left")
+    missing = F.raise_error(F.concat(F.lit("blob of file does not exist: "), F.col("path")))
+    return rows.select(*(F.when(F.col("blob_hash").isNotNull(), F.coalesce("__id", missing)).alias("blob_id") if c == "blob_id" else F.col(c) for c in file.columns))
+
+
+def finalize_backups(backup: DataFrame, fileset: DataFrame) -> DataFrame:
+    """The snapshots with counts and sizes as the sums of their base and delta filesets; one without either fails the query when it runs."""
+    sums = ("file_count", "file_raw_size_sum", "file_stored_size_sum")
+    b = fileset.select(F.col("id").alias("fileset_id_base"), *(F.col(c).alias(f"b_{c}") for c in sums))
+    d = fileset.select(F.col("id").alias("fileset_id_delta"), *(F.col(c).alias(f"d_{c}") for c in sums))
+    rows = backup.drop(*sums).join(b, "fileset_id_base", "left").join(d, "fileset_id_delta", "left")
+    return rows.select(*(F.coalesce(F.col(f"b_{c}") + F.col(f"d_{c}"), F.raise_error(F.lit("fileset of a snapshot is missing"))).alias(c) if c in sums else F.col(c) for c in backup.columns))
+
+
 def nth_latest(backup: DataFrame, n: int) -> DataFrame:
     from lamina.operators.predicates import order
 
@@ -155,4 +184,4 @@ def nth_latest(backup: DataFrame, n: int) -> DataFrame:
 
 def parent_first(files: DataFrame) -> DataFrame:
     """path, position in which a restore creates entries."""
-    return files.select("path", F.row_number().over(Window.orderBy("path")).cast("long").alias("position"))
+    return numbered(files.select("path"), ["path"], "position")

@@ -75,3 +75,26 @@ def summary_delta(old: DataFrame, new: DataFrame) -> DataFrame:
     b = new.agg(F.count("*").alias("c1"), total("stored_size").alias("s1"))
     zero = F.lit(0).cast("long")
     return beside(a, b).select(F.greatest(zero, F.col("c0") - F.col("c1")).alias("freed_count"), F.greatest(zero, F.col("s0") - F.col("s1")).alias("freed_size"))
+
+
+def overview(t: dict[str, DataFrame], version: int, hash_method: str, catalog_bytes: int) -> DataFrame:
+    """One row: counts and sizes of the whole catalog; `t` has its tables by name."""
+    direct, chunked = F.col("storage_method") == 1, F.col("storage_method") == 2
+    part = lambda which, size: F.coalesce(F.sum(F.when(which, F.col(size))), F.lit(0)).cast("long")
+    blob = t["blob"].agg(
+        F.count("*").alias("blob_count"), F.count_if(direct).alias("direct_blob_count"), F.count_if(chunked).alias("chunked_blob_count"), total("stored_size").alias("blob_stored_size_sum"),
+        total("raw_size").alias("blob_raw_size_sum"), *(part(which, f"{size}_size").alias(f"{name}_blob_{size}_size_sum") for name, which in (("direct", direct), ("chunked", chunked)) for size in ("stored", "raw")),
+    )
+    refs = t["blob_binding"].join(t["chunk_group"].select(F.col("id").alias("chunk_group_id"), "chunk_count"), "chunk_group_id").join(t["blob"].where(chunked).select(F.col("id").alias("blob_id")), "blob_id", "left_semi")
+    return beside(
+        blob, t["chunk"].agg(F.count("*").alias("chunk_count"), total("raw_size").alias("chunk_raw_size_sum"), total("stored_size").alias("chunk_stored_size_sum")),
+        t["chunk_group"].agg(F.count("*").alias("chunk_group_count")), t["chunk_binding"].agg(F.count("*").alias("chunk_group_chunk_binding_count")), t["blob_binding"].agg(F.count("*").alias("blob_chunk_group_binding_count")),
+        t["file"].agg(F.count("*").alias("file_object_count")), t["fileset"].agg(F.count("*").alias("fileset_count")),
+        t["backup"].agg(F.count("*").alias("backup_count"), total("file_count").alias("file_total_count"), total("file_raw_size_sum").alias("file_raw_size_sum")), refs.agg(total("chunk_count").alias("chunked_blob_chunk_count")),
+        t["pack"].agg(F.count("*").alias("pack_count"), total("size").alias("pack_size_sum"), total("live_size").alias("pack_live_size_sum"), total("live_entry_count").alias("pack_live_entry_count_sum")),
+    ).select(F.lit(version).alias("db_version"), F.lit(hash_method).alias("hash_method"), "*", F.lit(catalog_bytes).cast("long").alias("db_file_size"))
+
+
+def blocks(size: Column, block: int = 4096) -> Column:
+    """How many blocks a size takes."""
+    return F.ceil(size / block).cast("long")

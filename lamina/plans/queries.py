@@ -65,9 +65,9 @@ def existence_flags(t: Tables) -> DataFrame:
     return lookups.existence(t.orders.select((F.col("o_custkey") % 3000).alias("id")), t.fileset, "id")
 
 
-@query("select distinct path, role from file where fileset_id > 100")
+@query("select distinct path, role from file")
 def project_paths(t: Tables) -> DataFrame:
-    return t.file.where("fileset_id > 100").select("path", "role").distinct()
+    return t.file.select("path", "role").distinct()
 
 
 @query("select id, hash from blob where storage_method = 2")
@@ -173,9 +173,9 @@ def file_type_counts(t: Tables) -> DataFrame:
 # joins and lineage
 
 
-@query("select chunk_group_id, chunk_offset, chunk_id, hash, raw_size, stored_size from chunk_binding join chunk on chunk_id = id where chunk_group_id < 500")
+@query("select chunk_group_id, chunk_offset, chunk_id, hash, raw_size, stored_size from chunk_binding join chunk on chunk_id = id")
 def group_chunks(t: Tables) -> DataFrame:
-    return lineage.group_chunks(t.chunk_binding.where("chunk_group_id < 500"), t.chunk)
+    return lineage.group_chunks(t.chunk_binding, t.chunk)
 
 
 @query("select blob_id, chunk_group_offset, chunk_group_id, chunk_count, chunk_raw_size_sum from blob_binding join chunk_group on chunk_group_id = id")
@@ -241,14 +241,14 @@ def orphan_blobs(t: Tables) -> DataFrame:
     return audits.orphans(t.blob.select("id", "hash"), "hash", t.file, "blob_hash").select("id", "hash")
 
 
-@query("select id from chunk where id not in (select chunk_id from chunk_binding where chunk_group_id < 900)")
+@query("select id from chunk where id not in (select chunk_id from chunk_binding)")
 def orphan_chunks(t: Tables) -> DataFrame:
-    return audits.orphans(t.chunk.select("id"), "id", t.chunk_binding.where("chunk_group_id < 900"), "chunk_id")
+    return audits.orphans(t.chunk.select("id"), "id", t.chunk_binding, "chunk_id")
 
 
-@query("select id from chunk_group where id not in (select chunk_group_id from blob_binding where blob_id <> 7)")
+@query("select id from chunk_group where id not in (select chunk_group_id from blob_binding)")
 def orphan_chunk_groups(t: Tables) -> DataFrame:
-    return audits.orphans(t.chunk_group.select("id"), "id", t.blob_binding.where("blob_id <> 7"), "chunk_group_id")
+    return audits.orphans(t.chunk_group.select("id"), "id", t.blob_binding, "chunk_group_id")
 
 
 @query("select id from fileset where id not in (select fileset_id_base from backup) and id not in (select fileset_id_delta from backup)")
@@ -256,9 +256,9 @@ def orphan_filesets(t: Tables) -> DataFrame:
     return audits.orphan_filesets(t.fileset, t.backup).select("id")
 
 
-@query("select fileset_id, path from file where fileset_id not in (select id from fileset where id % 7 <> 3)")
+@query("select fileset_id, path from file where fileset_id not in (select id from fileset)")
 def orphan_files(t: Tables) -> DataFrame:
-    return t.file.join(t.fileset.where("id % 7 <> 3").select(F.col("id").alias("fileset_id")), "fileset_id", "left_anti").select("fileset_id", "path")
+    return t.file.join(t.fileset.select(F.col("id").alias("fileset_id")), "fileset_id", "left_anti").select("fileset_id", "path")
 
 
 @query("select chunk_group_id, sum(stored_size)::bigint as stored from (select distinct chunk_group_id, hash, stored_size from chunk_binding join chunk on chunk_id = id) group by all")
@@ -267,15 +267,14 @@ def unique_stored_sum(t: Tables) -> DataFrame:
 
 
 _containing = """
-select f.fileset_id, f.path, k.id as backup_id from (select fileset_id, path from file where path like 'en/src1/%') f join backup k on k.fileset_id_base = f.fileset_id
+select f.fileset_id, f.path, k.id as backup_id from file f join backup k on k.fileset_id_base = f.fileset_id
 where not exists (select 1 from file d where d.fileset_id = k.fileset_id_delta and d.path = f.path and d.role in (2, 3, 4))
-union select f.fileset_id, f.path, k.id from (select fileset_id, path from file where path like 'en/src1/%') f join backup k on k.fileset_id_delta = f.fileset_id"""
+union select f.fileset_id, f.path, k.id from file f join backup k on k.fileset_id_delta = f.fileset_id"""
 
 
 @query(f"select fileset_id, path, count(*) as backups, min(backup_id) as first from ({_containing}) group by all")
 def backups_containing_file(t: Tables) -> DataFrame:
-    found = lineage.containing_file(t.file.where(F.col("path").startswith("en/src1/")).select("fileset_id", "path"), t.file, t.backup)
-    return found.groupBy("fileset_id", "path").agg(F.count("*").alias("backups"), F.min("backup_id").alias("first"))
+    return lineage.containing_counts(t.file.select("fileset_id", "path"), t.file, t.backup)
 
 
 @query("select fileset_id, count(distinct id) as backups, min(id) as first from (select fileset_id_base as fileset_id, id from backup union all select fileset_id_delta, id from backup) group by all")
@@ -300,27 +299,6 @@ def range_lookup(t: Tables) -> DataFrame:
 # the same operators over whole tables
 
 
-@query("select chunk_group_id, chunk_offset, chunk_id, hash, raw_size, stored_size from chunk_binding join chunk on chunk_id = id")
-def group_chunks_whole(t: Tables) -> DataFrame:
-    return lineage.group_chunks(t.chunk_binding, t.chunk)
-
-
-@query("select id from chunk where id not in (select chunk_id from chunk_binding)")
-def orphan_chunks_whole(t: Tables) -> DataFrame:
-    return audits.orphans(t.chunk.select("id"), "id", t.chunk_binding, "chunk_id")
-
-
-@query("select distinct path, role from file")
-def project_paths_whole(t: Tables) -> DataFrame:
-    return t.file.select("path", "role").distinct()
-
-
-@query(f"select fileset_id, path, count(*) as backups, min(backup_id) as first from ({_containing.replace(" where path like 'en/src1/%'", "")}) group by all")
-def backups_containing_file_whole(t: Tables) -> DataFrame:
-    found = lineage.containing_file(t.file.select("fileset_id", "path"), t.file, t.backup)
-    return found.groupBy("fileset_id", "path").agg(F.count("*").alias("backups"), F.min("backup_id").alias("first"))
-
-
 @query("""with g as (select distinct chunk_group_id as id from chunk_binding where chunk_id in (select id from chunk)),
 b as (select distinct blob_id as id from blob_binding where chunk_group_id in (select id from g)), s as (select distinct fileset_id as id from file where blob_id in (select id from b)),
 k as (select id from backup where fileset_id_base in (select id from s) or fileset_id_delta in (select id from s))
@@ -458,9 +436,9 @@ def last_n_base(t: Tables) -> DataFrame:
 # aggregates
 
 
-@query("select (select count(*) from blob) as blob_count, (select count(*) from chunk) as chunk_count, (select count(*) from chunk_group) as chunk_group_count, (select count(*) from file) as file_count, (select count(*) from fileset) as fileset_count, (select count(*) from backup) as backup_count, (select count(*) from pack) as pack_count")
+@query("select (select count(*) from blob) as blob_count, (select count(*) from chunk) as chunk_count, (select count(*) from chunk_group) as chunk_group_count, (select count(*) from chunk_binding) as chunk_binding_count, (select count(*) from blob_binding) as blob_binding_count, (select count(*) from file) as file_count, (select count(*) from fileset) as fileset_count, (select count(*) from backup) as backup_count, (select count(*) from pack) as pack_count")
 def object_counts(t: Tables) -> DataFrame:
-    return stats.object_counts({name: getattr(t, name) for name in ("blob", "chunk", "chunk_group", "file", "fileset", "backup", "pack")})
+    return stats.object_counts({name: getattr(t, name) for name in ("blob", "chunk", "chunk_group", "chunk_binding", "blob_binding", "file", "fileset", "backup", "pack")})
 
 
 _sums = ", ".join(
@@ -499,15 +477,6 @@ def dedup_ratios(t: Tables) -> DataFrame:
     return stats.dedup_ratios(t.file, t.blob, t.backup)
 
 
-@query("select (select count(*) from backup) as backups, (select count(*) from file) as file_objects, (select sum(file_count)::bigint from backup) as file_refs, (select count(*) from blob) as blobs, (select sum(raw_size)::bigint from blob) as blob_raw, (select count(*) from chunk) as chunks, (select sum(raw_size)::bigint from chunk) as chunk_raw, (select sum(live_size)::bigint from pack) as pack_live, (select sum(size)::bigint from pack) as pack_size")
-def catalog_overview(t: Tables) -> DataFrame:
-    return stats.beside(
-        t.backup.agg(F.count("*").alias("backups"), stats.total("file_count").alias("file_refs")), t.file.agg(F.count("*").alias("file_objects")),
-        t.blob.agg(F.count("*").alias("blobs"), stats.total("raw_size").alias("blob_raw")), t.chunk.agg(F.count("*").alias("chunks"), stats.total("raw_size").alias("chunk_raw")),
-        t.pack.agg(stats.total("live_size").alias("pack_live"), stats.total("size").alias("pack_size")),
-    )
-
-
 @query("select count(*) filter (id % 3 = 0) as freed_count, coalesce(sum(stored_size) filter (id % 3 = 0), 0)::bigint as freed_size from chunk")
 def summary_delta(t: Tables) -> DataFrame:
     return stats.summary_delta(t.chunk, t.chunk.where("id % 3 <> 0"))
@@ -516,9 +485,9 @@ def summary_delta(t: Tables) -> DataFrame:
 # sets, ids, order
 
 
-@query("select id from blob where id not in (select blob_id from blob_binding where blob_id < 600)")
+@query("select id from blob where id not in (select blob_id from blob_binding)")
 def set_difference(t: Tables) -> DataFrame:
-    return t.blob.select("id").exceptAll(t.blob_binding.where("blob_id < 600").select(F.col("blob_id").alias("id")).distinct())
+    return t.blob.select("id").exceptAll(t.blob_binding.select(F.col("blob_id").alias("id")).distinct())
 
 
 @query("select id from blob intersect select blob_id from blob_binding")
@@ -558,9 +527,9 @@ def keep_last_n(t: Tables) -> DataFrame:
     return lookups.keep_last(t.backup.select("id", "timestamp", "timestamp_ns_part"), 20, [F.desc("timestamp"), F.desc("timestamp_ns_part"), F.desc("id")]).select("id")
 
 
-@query("select path, row_number() over (order by lower(split_part(path, '/', 1)), split_part(path, '/', 1), lower(split_part(path, '/', 2)), split_part(path, '/', 2), split_part(path, '/', 3)) as position from (select distinct path from file where fileset_id = 1)")
+@query("select path, row_number() over (order by lower(split_part(path, '/', 1)), split_part(path, '/', 1), lower(split_part(path, '/', 2)), split_part(path, '/', 2), split_part(path, '/', 3)) as position from (select distinct path from file)")
 def path_sort(t: Tables) -> DataFrame:
-    return t.file.where("fileset_id = 1").select("path").distinct().select("path", F.row_number().over(Window.orderBy(predicates.path_key(F.col("path")))).cast("long").alias("position"))
+    return lookups.numbered(t.file.select("path").distinct(), [predicates.path_key(F.col("path"))], "position")
 
 
 @query("select id, pack_offset, stored_size from chunk where pack_id = 12")
@@ -593,12 +562,6 @@ def compact_candidates(t: Tables) -> DataFrame:
     return layout.compactable(t.pack, 0.97).select("id")
 
 
-@query("""with l as (select c.*, sum(stored_size) over (order by pack_id, pack_offset, id rows between unbounded preceding and 1 preceding) as before from chunk c where pack_id in (select id from pack where id % 3 = 0)),
-n as (select id, coalesce(before, 0) as pos, floor(coalesce(before, 0) / 65536)::bigint + 1 as new_pack from l) select id, new_pack, (pos - min(pos) over (partition by new_pack))::bigint as new_offset from n""")
-def compact_plan(t: Tables) -> DataFrame:
-    return layout.compaction(t.chunk, t.pack.where("id % 3 = 0"), 65536)
-
-
 # audits
 
 _rar = "compress not in ('plain', 'gzip', 'lzma', 'zstd', 'lz4')"
@@ -860,6 +823,4 @@ def schedule_gaps(t: Tables) -> DataFrame:
 
 @query("select o_orderkey, coalesce(list_sum(list_filter([0, 10, 60, 300], lambda x: case x when 0 then 0 when 10 then 10 when 60 then 70 else 370 end <= (o_orderkey % 3000) * 0.2)), 0)::bigint as waits from orders")
 def backoff_plan(t: Tables) -> DataFrame:
-    steps = F.array(*(F.struct(F.lit(w).alias("wait"), F.lit(s).alias("sum")) for w, s in ((0, 0), (10, 10), (60, 70), (300, 370))))
-    fits = F.filter(steps, lambda x: x["sum"] <= (F.col("o_orderkey") % 3000) * 0.2)
-    return t.orders.select("o_orderkey", F.aggregate(fits, F.lit(0), lambda a, x: a + x["wait"]).cast("long").alias("waits"))
+    return t.orders.select("o_orderkey", presence.backoff_sum(F.col("o_orderkey") % 3000).alias("waits"))

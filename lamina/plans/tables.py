@@ -119,6 +119,8 @@ def oracle(body: str) -> str:
         wanted |= more
     chain = ", ".join(f"{name} as ({_duck(TABLES[name]).format(**{x: x for x in (*SOURCES, *TABLES)})})" for name in TABLES if name in wanted)
     body = body.strip()
+    if body.startswith("with recursive "):
+        return f"with recursive {chain}, {body[15:]}" if chain else body
     if body.startswith("with "):
         return f"with {chain}, {body[5:]}" if chain else body
     return f"with {chain} {body}" if chain else body

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from lamina.operators.lookups import numbered
 
 
 def last_state(events: DataFrame) -> DataFrame:
@@ -30,10 +32,16 @@ def gate(states: DataFrame, blacklist: str = "") -> DataFrame:
 
 def gaps(runs: DataFrame, least: int) -> DataFrame:
     """moment, gap: pauses of at least `least` between neighbouring runs."""
-    return runs.withColumn("gap", F.col("moment") - F.lag("moment").over(Window.orderBy("moment"))).where(F.col("gap") >= least)
+    placed = numbered(runs.select("moment"), ["moment"], "place")
+    before = placed.select((F.col("place") + 1).alias("place"), F.col("moment").alias("before"))
+    return placed.join(before, "place").select("moment", (F.col("moment") - F.col("before")).alias("gap")).where(F.col("gap") >= least)
+
 
+#: Seconds before each retry.
+BACKOFF = (0, 10, 60, 300)
 
-def backoff(interval: int, steps: tuple[int, ...] = (0, 10, 60, 300), share: float = 0.2) -> list[int]:
+
+def backoff(interval: int, steps: tuple[int, ...] = BACKOFF, share: float = 0.2) -> list[int]:
     """Waits before each retry, as long as their sum stays within a share of the interval."""
     out: list[int] = []
     for step in steps:
@@ -43,21 +51,39 @@ def backoff(interval: int, steps: tuple[int, ...] = (0, 10, 60, 300), share: flo
     return out
 
 
-def stream_states(events: DataFrame) -> DataFrame:
-    """A streaming frame of user, online, moment whenever a user's state changes; `events` has user, change, moment."""
+def backoff_sum(interval: Column, steps: tuple[int, ...] = BACKOFF, share: float = 0.2) -> Column:
+    """The sum of the waits of `backoff`, as a column."""
+    sums = list(accumulate(steps))
+    fits = F.filter(F.array(*map(F.lit, sums)), lambda x: x <= interval * share)
+    return F.coalesce(F.array_max(fits), F.lit(0)).cast("long")
+
+
+def stream_states(events: DataFrame, users: list[str] | None = None) -> DataFrame:
+    """A streaming frame of user, online, moment whenever a user's state changes; `events` has user, change, moment.
+
+    A reset (user null) makes every user unknown: it is dealt to all `users` that may have a state (given, as a
+    stream cannot list them), who are forgotten and must join again; without `users` resets are left out.
+    """
+    if users:
+        everyone = F.when(F.col("change") == "reset", F.array(*map(F.lit, users))).otherwise(F.array(F.col("user").cast("string")))
+        events = events.select(F.explode(everyone).alias("user"), "change", "moment")
+    else:
+        events = events.where("change <> 'reset'")
 
     def update(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:  # noqa: ANN001
-        online, newest = state.get if state.exists else (False, -1)
-        known, rows = state.exists, []
+        known, online, newest = state.get if state.exists else (False, False, -1)
+        rows = []
         for frame in frames:
             for change, at in frame.sort_values("moment")[["change", "moment"]].itertuples(index=False):
-                if at <= newest or (change == "left" and not known):
+                if at <= newest:
                     continue
-                known, online, newest = True, change == "joined", at
-                rows.append((key[0], online, at))
-        if known:
-            state.update((online, newest))
+                if change == "reset":
+                    known, online, newest = False, False, at
+                elif change == "joined" or known:
+                    known, online, newest = True, change == "joined", at
+                    rows.append((key[0], online, at))
+        state.update((known, online, newest))
         if rows:
             yield pd.DataFrame(rows, columns=["user", "online", "moment"])
 
-    return events.groupBy("user").applyInPandasWithState(update, "user string, online boolean, moment long", "online boolean, newest long", "append", "NoTimeout")
+    return events.groupBy("user").applyInPandasWithState(update, "user string, online boolean, moment long", "known boolean, online boolean, newest long", "append", "NoTimeout")
