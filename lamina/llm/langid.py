@@ -88,19 +88,28 @@ class Model:
 
 
 def solve(spectra: np.ndarray, labels: np.ndarray) -> Model:
-    """Nystroem kernel ridge regression, one against the rest; landmarks are the first rows of each language in turn, one each at least."""
+    """Nystroem kernel ridge regression, one against the rest; landmarks are the first rows of each language in turn, one each at least.
+
+    `spectra` are presence vectors, or their packed bits; they are unpacked in blocks, so that the driver holds few.
+    """
+    packed = np.packbits(spectra, axis=1) if spectra.shape[1] == SLOTS else spectra
+
+    def unit(rows: np.ndarray) -> np.ndarray:
+        own = np.unpackbits(packed[rows], axis=1).astype(np.float32)
+        own /= np.sqrt(np.maximum(own.sum(axis=1, keepdims=True), 1))
+        return own
+
     languages = sorted(set(labels.tolist()))
     rank = np.zeros(len(labels), np.int64)
     for language in languages:
         own = np.flatnonzero(labels == language)
         rank[own] = np.arange(len(own))
     chosen = np.lexsort((labels, rank))[: max(LANDMARKS, len(languages))]
-    unit = spectra.astype(np.float32)
-    unit /= np.sqrt(np.maximum(unit.sum(axis=1, keepdims=True), 1))
-    landmarks = unit[chosen]
-    cross, square = (unit @ landmarks.T).astype(np.float64), (landmarks @ landmarks.T).astype(np.float64)
+    landmarks = unit(chosen)
+    blocks = np.array_split(np.arange(len(packed)), -(-len(packed) // (4 * BLOCK)))
+    cross, square = np.concatenate([unit(rows) @ landmarks.T for rows in blocks]).astype(np.float64), (landmarks @ landmarks.T).astype(np.float64)
     goal = np.where(labels[:, None] == np.array(languages)[None, :], 1.0, -1.0)
-    system = cross.T @ cross + RIDGE * len(unit) * square / LANDMARKS + 1e-6 * np.eye(len(chosen))
+    system = cross.T @ cross + RIDGE * len(packed) * square / LANDMARKS + 1e-6 * np.eye(len(chosen))
     return Model(languages, (landmarks.T @ np.linalg.solve(system, cross.T @ goal)).astype(np.float32))
 
 
@@ -133,8 +142,7 @@ def fit(docs: DataFrame, learn: Column) -> Model:
         keep[np.flatnonzero(labels == language)[:each]] = True
     if not keep.any():
         return Model([], np.zeros((SLOTS, 0), np.float32))
-    matrix = np.unpackbits(np.frombuffer(b"".join(bits), np.uint8)).reshape(len(labels), SLOTS)
-    return solve(matrix[keep], labels[keep])
+    return solve(np.frombuffer(b"".join(bits), np.uint8).reshape(len(labels), SLOTS // 8)[keep], labels[keep])
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text") -> Column:
