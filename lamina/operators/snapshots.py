@@ -185,3 +185,31 @@ def nth_latest(backup: DataFrame, n: int) -> DataFrame:
 def parent_first(files: DataFrame) -> DataFrame:
     """path, position in which a restore creates entries."""
     return numbered(files.select("path"), ["path"], "position")
+
+
+def recount(file: DataFrame, fileset: DataFrame) -> DataFrame:
+    """The filesets with their counts and sums taken from the files anew.
+
+    A base counts what it holds; a delta what it adds, less what it removes, and by how much its overrides differ.
+    """
+    old = file.select(F.col("fileset_id").alias("base_id"), "path", *(F.col(f"blob_{s}_size").alias(f"old_{s}") for s in ("raw", "stored")))
+    rows = file.join(fileset.select(F.col("id").alias("fileset_id"), "base_id"), "fileset_id").join(old, ["base_id", "path"], "left")
+    is_base, role = F.col("base_id") == 0, F.col("role")
+    plus, minus = is_base | role.isin(ROLE_ADD, ROLE_OVERRIDE), ~is_base & role.isin(ROLE_OVERRIDE, ROLE_REMOVE)
+    signed = lambda new, old: F.sum(F.when(plus, new).otherwise(0) - F.when(minus, old).otherwise(0))
+    zero = lambda name: F.coalesce(F.col(name), F.lit(0))
+    sums = rows.groupBy(F.col("fileset_id").alias("id")).agg(
+        F.count("*").alias("file_object_count"), signed(F.lit(1), F.lit(1)).alias("file_count"),
+        *(signed(zero(f"blob_{s}_size"), zero(f"old_{s}")).cast("long").alias(f"file_{s}_size_sum") for s in ("raw", "stored")),
+    )
+    return fileset.select("id", "base_id").join(sums, "id", "left").na.fill(0).select("id", "base_id", "file_object_count", "file_count", "file_raw_size_sum", "file_stored_size_sum")
+
+
+def audit_recount(file: DataFrame, fileset: DataFrame) -> DataFrame:
+    """id, kind: bad_file_stats of filesets whose file count or sums are not those of `recount`."""
+    names = ("file_count", "file_raw_size_sum", "file_stored_size_sum")
+    want = recount(file, fileset).select("id", *(F.col(n).alias(f"want_{n}") for n in names))
+    differs = F.lit(False)
+    for n in names:
+        differs = differs | (F.col(n) != F.col(f"want_{n}"))
+    return fileset.join(want, "id").where(differs).select(F.col("id").cast("long").alias("id"), F.lit("bad_file_stats").alias("kind"))

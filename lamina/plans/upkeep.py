@@ -199,3 +199,20 @@ def folder_rule(t: Tables) -> DataFrame:
 def file_backups(t: Tables) -> DataFrame:
     files = t.file.where("path like 'en/src1/%1'").select("fileset_id", "path")
     return lineage.containing_file(files, t.file, t.backup)
+
+
+# sums of filesets
+
+_PLUS, _MINUS = "case when s.base_id = 0 or role in (2, 3) then {} else 0 end", "case when s.base_id <> 0 and role in (2, 4) then {} else 0 end"
+_SIGNED = ", ".join(f"cast(sum({_PLUS.format(new)} - {_MINUS.format(old)}) as bigint) as {name}" for name, new, old in (
+    ("file_count", "1", "1"), ("file_raw_size_sum", "coalesce(f.blob_raw_size, 0)", "coalesce(o.blob_raw_size, 0)"),
+    ("file_stored_size_sum", "coalesce(f.blob_stored_size, 0)", "coalesce(o.blob_stored_size, 0)"),
+))
+
+
+@query(f"""with g as (select f.fileset_id as id, count(*) as file_object_count, {_SIGNED.replace("role in", "f.role in")}
+  from file f join fileset s on s.id = f.fileset_id left join file o on o.fileset_id = s.base_id and o.path = f.path group by f.fileset_id)
+select s.id, s.base_id, coalesce(g.file_object_count, 0) as file_object_count, coalesce(g.file_count, 0) as file_count, coalesce(g.file_raw_size_sum, 0) as file_raw_size_sum,
+  coalesce(g.file_stored_size_sum, 0) as file_stored_size_sum from fileset s left join g on g.id = s.id""")
+def fileset_recount(t: Tables) -> DataFrame:
+    return snapshots.recount(t.file, t.fileset)
